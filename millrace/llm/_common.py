@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +51,20 @@ def ascii_lower(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_BREAK, -1), "")
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with a column __row that names each row by file and place, the same however the files are split or how often they are read.
+
+    A DataFrame that isn't read from files is written to the shared folder first.
+    """
+    key = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias("__row")
+    try:
+        return docs.select("*", key)
+    except AnalysisException:
+        return materialize(docs, "rows").select("*", key)
+
+
+def drop_rows(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """keyed (of with_row_key) without the rows whose __row is in rows."""
+    return keyed.join(materialize(rows.select("__row"), "dropped"), "__row", "left_anti").drop("__row")

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import materialize, read, words
+from millrace.llm._common import drop_rows, materialize, read, with_row_key, words
 
 WINDOW = 10
 SHINGLE = 3
@@ -103,12 +103,11 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs without any window of the benchmark, all columns kept."""
-    keyed = docs.withColumn("__rid", F.monotonically_increasing_id())
-    keyed = materialize(keyed, "decontaminate-in")
-    found = contamination(keyed, read(spark, sf_dir, "benchmark"), doc_id="__rid").where("n_hit > 0").select("__rid")
-    return keyed.join(found, "__rid", "left_anti").drop("__rid")
+def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs without any window of the items, all columns kept."""
+    keyed = with_row_key(docs)
+    found = contamination(keyed, items, doc_id="__row")
+    return drop_rows(keyed, found.where("n_hit > 0"))
 
 
 W = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

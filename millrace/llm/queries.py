@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate
+from millrace.llm import decontaminate, exact_dedup, license_scan, simhash
 
-QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate}
-ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_simhash": simhash.op2_simhash,
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_license_scan": license_scan.op6_license_scan,
+}
+ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op4_exact_dedup": exact_dedup.ORACLE,
+    "op6_license_scan": license_scan.ORACLE,
+}
