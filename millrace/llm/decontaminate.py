@@ -1,12 +1,13 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-An item's windows are sets of word shingles. Shingles are ordered by their frequency over all documents; a document that contains a
-whole window contains in particular its rarest shingle, so that one is the window's necessary prefix (containment 1 needs a prefix of
-|window| - |window| + 1 = 1 element). Documents join the prefixes on the shingle; the shingle's place in both gives where the window
-would have to begin, which bounds position and length; what is left is compared word by word.
+An item's windows are sets of word shingles. Shingles are ordered by rarity: by how often the rarest of their words occurs in all
+documents, which bounds their own frequency. A document that contains a whole window contains in particular its rarest shingle, so that
+one is the window's necessary prefix (containment 1 needs a prefix of |window| - |window| + 1 = 1 element). Places of documents join the
+prefixes on the shingle's rarest word, its anchor; the anchor's place in both gives where the window would have to begin, which bounds
+position and length; then the shingle, and last the whole window, is compared word by word.
 
-No row of the corpus is shuffled for the join: the windows come to the documents, in blocks of at most ``max_broadcast_windows``
-(a larger benchmark takes more passes), and only verified hits are grouped, by row of the input.
+No row of the corpus is shuffled for the join: the windows come to the documents, in blocks of at most ``max_windows`` (a larger
+benchmark takes more passes), and only verified hits are grouped, by row of the input.
 
 Defined results: a null or empty text has no words, n_words 0 and no hits. Items without words have no windows; items with a null id
 count as hits but not as items. Equal items or windows count once for each item id. Repeated rows and null ids of documents give a row
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._common import drop_rows, materialize, read, with_row_key, words
@@ -39,56 +40,41 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
     )
 
 
-def shingles_at(w: Column, n: int) -> Column:
-    """The shingle of n words at every place of w that has one."""
-    if n == 1:
-        return w
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
-def prefixed(docs_words: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
-    """The windows whose every shingle occurs in the documents, with the rarest of them (tok) and its place (off)."""
-    n = F.least(F.size("win"), F.lit(shingle))
-    all_sh = windows.select("win", "items", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("win") - n + 1), lambda i: F.array_join(F.slice(F.col("win"), i, n), " "))).alias("off", "tok"), n.alias("k"))
-    known = materialize(all_sh.select("tok", "k").distinct(), "op1-shingles")
-    count, lengths = known.count(), [r.k for r in known.select("k").distinct().collect()]
-    if not count:
-        return all_sh.select("win", "items", "off", "tok", "k").limit(0)
-    blocks = -(-count // (4 * MAX_BROADCAST_WINDOWS))
+def frequencies(docs_words: DataFrame, toks: DataFrame) -> DataFrame:
+    """tok, df: how often the words of toks (written, distinct) occur in all documents."""
+    blocks = max(1, -(-toks.count() // (4 * MAX_BROADCAST_WINDOWS)))
     parts = []
     for b in range(blocks):
-        mine = known if blocks == 1 else known.where(F.pmod(F.xxhash64("tok"), F.lit(blocks)) == b)
-        toks = docs_words.select(F.explode(doc_shingles(lengths)).alias("tok"))
-        parts.append(toks.join(F.broadcast(mine.select("tok")), "tok").groupBy("tok").agg(F.count("*").alias("df")))
-    df = reduce(DataFrame.unionByName, parts)
-    best = all_sh.join(df, "tok", "left").groupBy("win").agg(F.first("items").alias("items"), F.first("k").alias("k"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok", "off")).alias("m"))
-    return best.where("m.df > 0").select("win", "items", F.col("m.off").alias("off"), F.col("m.tok").alias("tok"), "k")
+        mine = toks if blocks == 1 else toks.where(F.pmod(F.xxhash64("tok"), F.lit(blocks)) == b)
+        parts.append(docs_words.select(F.explode("w").alias("tok")).join(F.broadcast(mine), "tok").groupBy("tok").agg(F.count("*").alias("df")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def doc_shingles(lengths: list[int]) -> Column:
-    parts = [shingles_at(F.col("w"), n) for n in sorted(lengths)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+def prefixed(docs_words: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
+    """The windows whose every word occurs in the documents: win, items, the anchor tok and its place off, the rarest shingle sh and its place at."""
+    placed = windows.select("win", "items", F.posexplode("win").alias("off", "tok"))
+    df = frequencies(docs_words, materialize(placed.select("tok").distinct(), "op1-words"))
+    ranked = placed.join(df, "tok", "left").groupBy("win").agg(F.first("items").alias("items"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok", "off")).alias("m")).where("m.df > 0")
+    at = F.least(F.col("m.off"), F.greatest(F.size("win") - shingle, F.lit(0)))
+    return ranked.select("win", "items", F.col("m.tok").alias("tok"), F.col("m.off").alias("off"), at.alias("at"), F.slice("win", at + 1, F.lit(shingle)).alias("sh"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, max_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """One row per row of docs: its id, n_words, spans (merged-order array of start and length of every occurrence of a window), items (sorted distinct ids) and n_hit, the number of words inside any occurrence."""
+    """One row per row of docs: its id, n_words, n_hit (words inside any occurrence of a window), spans (start and length of the occurrences, in order), items (sorted distinct ids)."""
     w = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("id"), words(F.col(text)).alias("w"))
     found = materialize(prefixed(w, item_windows(items, item_id, item_text, window), shingle), "op1-windows")
-    lengths = [r.k for r in found.select("k").distinct().collect()] or [shingle]
-    n_windows = found.count()
-    blocks = max(1, -(-n_windows // max_windows))
+    blocks = max(1, -(-found.count() // max_windows))
+    none = F.array().cast("array<string>")
+    end = docs.sparkSession.range(1).select(none.alias("win"), F.lit(None).cast(found.schema["items"].dataType).alias("items"), F.lit(END).alias("tok"), F.lit(0).alias("off"), F.lit(0).alias("at"), none.alias("sh"))
+    start, n = F.col("pos") - F.col("off"), F.size("w")
+    same = lambda at, what: F.slice(F.col("w"), at + 1, F.size(what)) == F.col(what)
+    hit = F.when(F.col("tok") == END, True).when((start < 0) | (start + F.size("win") > n), False).otherwise(same(start + F.col("at"), "sh") & same(start, "win"))
     parts = []
     for b in range(blocks):
         mine = found if blocks == 1 else found.where(F.pmod(F.xxhash64("tok"), F.lit(blocks)) == b)
-        marks = mine.select("tok", "k", "off", "win", "items")
-        end = marks.sparkSession.range(1).select(F.lit(END).alias("tok"), F.lit(0).alias("k"), F.lit(0).alias("off"), F.array().cast("array<string>").alias("win"), F.lit(None).cast(mine.schema["items"].dataType).alias("items"))
-        per_len = [shingles_at(F.col("w"), n) for n in sorted(lengths)]
-        rows = reduce(DataFrame.unionByName, [w.select("rid", "id", "w", F.posexplode(F.array_append(x, END) if i == 0 else x).alias("pos", "tok"), F.lit(n).alias("n")) for i, (n, x) in enumerate(zip(sorted(lengths), per_len))])
-        start = F.col("pos") - F.col("off")
-        fits = (F.col("k") == F.col("n")) & (start >= 0) & (start + F.size("win") <= F.size("w"))
-        hit = F.when(F.col("tok") == END, F.lit(True)).when(fits, F.slice(F.col("w"), start + 1, F.size("win")) == F.col("win")).otherwise(F.lit(False))
-        at = F.when(F.col("k") > 0, F.struct(start.alias("start"), F.size("win").alias("len")))
-        parts.append(rows.join(F.broadcast(marks.unionByName(end)), "tok").where(hit).select("rid", "id", F.size("w").cast("long").alias("n_words"), at.alias("at"), "items"))
+        places = w.select("rid", "id", "w", F.posexplode(F.array_append("w", END)).alias("pos", "tok"))
+        at = F.when(F.col("tok") != END, F.struct(start.alias("start"), F.size("win").alias("len")))
+        parts.append(places.join(F.broadcast(mine.unionByName(end)), "tok").where(hit).select("rid", "id", n.cast("long").alias("n_words"), at.alias("at"), "items"))
     hits = reduce(DataFrame.unionByName, parts)
     one = hits.groupBy("rid", "id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("at")).alias("spans"), F.collect_set("items").alias("sets"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
