@@ -68,3 +68,22 @@ def with_row_key(docs: DataFrame) -> DataFrame:
 def drop_rows(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     """keyed (of with_row_key) without the rows whose __row is in rows."""
     return keyed.join(materialize(rows.select("__row"), "dropped"), "__row", "left_anti").drop("__row")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this subpackage to the Python workers, once for each context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    import os
+    import zipfile
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace-llm.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        z.writestr("millrace/__init__.py", "")
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                z.write(os.path.join(here, name), f"millrace/llm/{name}")
+    context.addPyFile(target)
+    context._millrace_shipped = True

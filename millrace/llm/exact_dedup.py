@@ -26,9 +26,10 @@ RUNS = FAN_IN**ROUNDS
 KEY = ["digest", "len", "check"]
 
 
-def digests(docs: DataFrame, doc_id: str, text: str, row: Column) -> DataFrame:
+def digests(docs: DataFrame, doc_id: str, text: str, row: Column, normalise=ascii_lower) -> DataFrame:
     """rid, id, run and the digest columns of every row, written once."""
-    norm = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    norm = F.coalesce(F.col(text), F.lit(""))
+    norm = normalise(norm) if normalise else norm
     out = (
         docs.select(row.alias("rid"), F.col(doc_id).alias("id"), norm.alias("t"))
         .select("rid", "id", F.pmod(F.xxhash64("rid"), F.lit(RUNS)).cast("int").alias("run"), F.unhex(F.sha2("t", 256)).alias("digest"), F.octet_length("t").alias("len"), F.xxhash64("t").alias("check"))
@@ -47,9 +48,9 @@ def tree_merge(rows: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
     return lowest.select("run", *KEY), up.select(*KEY, "best", "n")
 
 
-def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: str = "largest", row: Column | None = None) -> DataFrame:
+def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: str = "largest", row: Column | None = None, normalise=ascii_lower) -> DataFrame:
     """One row per row of docs: rid (row, by default a running number), id, digest (binary), keep_id, group_size, kept."""
-    rows = digests(docs, doc_id, text, F.monotonically_increasing_id() if row is None else row)
+    rows = digests(docs, doc_id, text, F.monotonically_increasing_id() if row is None else row, normalise)
     lowest, top = tree_merge(rows, keep)
     down = lowest.join(top, KEY)
     return rows.join(down, ["run", *KEY]).select("rid", "id", "digest", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("best.rid") == F.col("rid")).alias("kept"))

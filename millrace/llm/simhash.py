@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import drop_rows, materialize, read, with_row_key
+from millrace.llm._common import drop_rows, materialize, read, ship, with_row_key
 from millrace.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             fps = pa.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in b.column("t")], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("id"), fps], ["rid", "id", "fp"])
 
+    ship(docs.sparkSession)
     rows = docs.select((F.monotonically_increasing_id() if row is None else row).alias("rid"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     return rows.mapInArrow(of, T.StructType([*rows.schema.fields[:2], T.StructField("fp", T.LongType())]))
 
