@@ -53,21 +53,30 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_BREAK, -1), "")
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """docs with a column __row that names each row by file and place, the same however the files are split or how often they are read.
+def fresh(name: str, columns: list[str]) -> str:
+    """name, lengthened until none of the columns has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a new column that names each row by file and place, the same however the files are split or how often they are read, and its name.
 
     A DataFrame that isn't read from files is written to the shared folder first.
     """
-    key = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias("__row")
+    name = fresh("__row", docs.columns)
+    key = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias(name)
     try:
-        return docs.select("*", key)
+        return docs.select("*", key), name
     except AnalysisException:
-        return materialize(docs, "rows").select("*", key)
+        return materialize(docs, "rows").select("*", key), name
 
 
-def drop_rows(keyed: DataFrame, rows: DataFrame) -> DataFrame:
-    """keyed (of with_row_key) without the rows whose __row is in rows."""
-    return keyed.join(materialize(rows.select("__row"), "dropped"), "__row", "left_anti").drop("__row")
+def drop_rows(keyed: DataFrame, name: str, rows: DataFrame) -> DataFrame:
+    """keyed (of with_row_key) without the rows whose key is the one column of rows."""
+    return keyed.join(materialize(rows.toDF(name), "dropped"), name, "left_anti").drop(name)
 
 
 def ship(spark: SparkSession) -> None:

@@ -91,9 +91,9 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs without any window of the items, all columns kept."""
-    keyed = with_row_key(docs)
-    found = contamination(keyed, items, doc_id="__row")
-    return drop_rows(keyed, found.where("n_hit > 0"))
+    keyed, row = with_row_key(docs)
+    found = contamination(keyed, items, doc_id=row)
+    return drop_rows(keyed, row, found.where("n_hit > 0").select(row))
 
 
 W = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

@@ -64,9 +64,9 @@ def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 def unique_documents(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of docs that stay, all columns kept."""
-    keyed = with_row_key(docs)
-    found = groups(keyed, keep=keep, row=F.col("__row"))
-    return drop_rows(keyed, found.where("NOT kept").select(F.col("rid").alias("__row")))
+    keyed, row = with_row_key(docs)
+    found = groups(keyed, keep=keep, row=F.col(row))
+    return drop_rows(keyed, row, found.where("NOT kept").select("rid"))
 
 
 ORACLE = f"""

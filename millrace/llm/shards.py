@@ -23,6 +23,8 @@ ARRIVAL = 8 << 20
 TARGET = 64 << 20
 #: Sizes within a factor of 4 of each other are similar.
 FACTOR = 4
+#: The partition column of stored rows; documents must not have one of this name.
+SHARD = "millrace_shard"
 MANIFEST = "shard long, tier int, rows long, bytes long, runs int"
 
 
@@ -57,9 +59,9 @@ class Store:
         context.rename(self._path(aside), self._path(place), options)
 
     def rows(self, version: int | None = None) -> DataFrame:
-        """All documents of a version, with the column shard."""
+        """All documents of a version, with the column SHARD."""
         live = [r.shard for r in self.manifest(version).select("shard").collect()]
-        paths = [f"{self.root}/data/shard={s}" for s in live]
+        paths = [f"{self.root}/data/{SHARD}={s}" for s in live]
         return self.spark.read.option("basePath", f"{self.root}/data").parquet(*paths) if paths else None
 
     def append(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", arrival: int = ARRIVAL) -> int:
@@ -70,7 +72,7 @@ class Store:
         total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
         n = max(1, -(-total // arrival))
         which = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long") % n + first
-        docs.withColumn("shard", which).repartition("shard").write.mode("append").option("compression", "zstd").partitionBy("shard").parquet(f"{self.root}/data")
+        docs.withColumn(SHARD, which).repartition(SHARD).write.mode("append").option("compression", "zstd").partitionBy(SHARD).parquet(f"{self.root}/data")
         sizes = docs.select(which.alias("shard"), size.alias("size")).groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
         new = sizes.select("shard", tier(F.col("bytes")).alias("tier"), "rows", "bytes", F.lit(1).alias("runs"))
         self.commit(self.manifest(version).unionByName(new), version + 1)
@@ -93,8 +95,8 @@ class Store:
         first = shards.agg(F.max("shard") + 1).first()[0]
 
         def merge(k: int) -> None:
-            paths = [f"{self.root}/data/shard={s}" for s in merges[k].members]
-            self.spark.read.parquet(*paths).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/data/shard={first + k}")
+            paths = [f"{self.root}/data/{SHARD}={s}" for s in merges[k].members]
+            self.spark.read.parquet(*paths).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/data/{SHARD}={first + k}")
 
         with ThreadPoolExecutor(threads) as pool:
             list(pool.map(merge, range(len(merges))))
@@ -113,8 +115,8 @@ def op10_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = store.manifest(version).withColumnsRenamed({"rows": "shard_rows", "bytes": "shard_bytes"})
     rows = store.rows(version)
     if rows is None:
-        rows = read(spark, sf_dir, "documents").withColumn("shard", F.lit(0))
-    rows = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.col("shard").cast("long").alias("shard"))
+        rows = read(spark, sf_dir, "documents").withColumn(SHARD, F.lit(0))
+    rows = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.col(SHARD).cast("long").alias("shard"))
     return rows.join(live, "shard").withColumn("version", F.lit(version).cast("long"))
 
 

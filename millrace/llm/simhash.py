@@ -138,9 +138,9 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns kept: of every component the row with the smallest id, of repeated ids the first by place."""
-    keyed = with_row_key(docs)
-    found = materialize(near_duplicates(keyed, row=F.col("__row")), "op2-components")
+    keyed, row = with_row_key(docs)
+    found = materialize(near_duplicates(keyed, row=F.col(row)), "op2-components")
     first = F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("first")
     runs = found.groupBy("component_id", F.pmod(F.xxhash64("rid"), F.lit(RUNS)).alias("run")).agg(first)
     stays = runs.groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
-    return drop_rows(keyed, found.join(stays, "rid", "left_anti").select(F.col("rid").alias("__row")))
+    return drop_rows(keyed, row, found.join(stays, "rid", "left_anti").select("rid"))

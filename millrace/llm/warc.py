@@ -82,9 +82,10 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
             yield pa.RecordBatch.from_arrays([pa.array([f"{archive}.warc.gz"]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], ["file", "bytes", "records"])
 
     ship(pages.sparkSession)
-    keyed = with_row_key(pages)
-    kinds = groups(keyed, doc_id=page_id, text=html, row=F.col("__row"), normalise=None).select(F.col("rid").alias("__row"), "keep_id", (~F.col("kept")).alias("revisit"))
-    rows = keyed.join(kinds, "__row").select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), F.col("keep_id").cast("long").alias("keep_id"), "revisit")
+    keyed, row = with_row_key(pages)
+    kinds = groups(keyed, doc_id=page_id, text=html, row=F.col(row), normalise=None).select(F.col("rid").alias("__key"), "keep_id", (~F.col("kept")).alias("revisit"))
+    mine = keyed.select(F.col(row).alias("__key"), F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    rows = mine.join(kinds, "__key").select("id", "url", "html", F.col("keep_id").cast("long").alias("keep_id"), "revisit")
     rows = rows.withColumn("revisit", F.col("revisit") & (F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes))
     return materialize(rows.mapInArrow(of, "file string, bytes long, records long"), "op7-archives")
 
