@@ -3,7 +3,8 @@
 A character trigram model is counted over all documents. A suspicious token (a look-alike between or before letters, a letter three times
 in a row, single characters set apart) becomes a lattice: a character may stand for itself, for the letters it looks like, for nothing if
 it is no letter, or repeat the letter before. Viterbi decoding finds the path of least cost under channel and language model, over states
-of the last two letters. The restored text is scored by a logistic regression over words and parts of words.
+of the last two letters. The restored text is scored by a logistic regression over words and parts of words, each by whether one, two or
+three of its different words have it.
 
 The classifier is fitted on at most ``sample`` labelled rows, those with the smallest hash of their id; the language model takes every
 document. Labels come only from rows whose crc32(doc_id as text) mod FOLDS is not 0. Only the text is an input of a score.
@@ -21,11 +22,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import materialize, read, ship
+from millrace.llm._common import fresh, materialize, read, ship
 
 FOLDS = 5
 SAMPLE = 20_000
 FEATURES = 2048
+LEVELS = 3
 GRAMS = (4, 5, 6)
 CLASSES = 64
 
@@ -38,10 +40,11 @@ DEVIATIONS = 4.0
 
 _LETTER = r"[^\W\d_]"
 _LOOK = "[" + re.escape("".join(LOOKALIKES)) + "]"
-#: Tokens that are decoded.
-SUSPICIOUS = re.compile(rf"(?<!\S)(?:\S[ ._*-]){{3,}}\S(?!\S)|\S*(?:{_LETTER}[\d@$!|+€£(¡§¥*._~^-]+{_LETTER}|(?<!\S){_LOOK}+{_LETTER}|({_LETTER})\1\1)\S*")
+#: Tokens that are decoded hold one of these, and so are runs of single characters.
+TRIGGER = re.compile(rf"{_LETTER}[\d@$!|+€£(¡§¥*._~^-]+{_LETTER}|^{_LOOK}+{_LETTER}|({_LETTER})\1\1").search
+SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 WORD = re.compile(rf"{_LETTER}+")
-MEMO = 300_000
+MEMO = 100_000
 
 
 def char_class(c: str) -> int:
@@ -119,26 +122,36 @@ def decode(token: str, cost) -> str:
     return min((z + cost[a][b][0], text) for (a, b), (z, text) in states.items())[1]
 
 
+MEMO = 100_000
+
+
 class Restorer:
     """Restored words of texts under a language model."""
 
     def __init__(self, cost):
         self.cost = cost.tolist()
-        self.memo: dict[str, str] = {}
-
-    def _token(self, m: re.Match) -> str:
-        t = m[0]
-        if (out := self.memo.get(t)) is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            out = self.memo[t] = decode(t, self.cost)
-        return out
 
     def restore(self, text: str) -> str:
-        return SUSPICIOUS.sub(self._token, text.lower())
+        """The text with what is suspicious decoded."""
+        out = " ".join(decode(t, self.cost) if TRIGGER(t) else t for t in text.lower().split())
+        return SPACED.sub(lambda m: decode(m[0], self.cost), out)
+
+    def token_words(self, token: str) -> list[str]:
+        """The words of a lower-case token."""
+        return WORD.findall(decode(token, self.cost) if TRIGGER(token) else token)
+
+    def tokens(self, text: str | None) -> set[str]:
+        """The different tokens of a text, and those that runs of single characters decode to."""
+        if not text:
+            return set()
+        low = text.lower()
+        out = set(low.split())
+        for m in SPACED.finditer(low):
+            out.update(decode(m[0], self.cost).split())
+        return out
 
     def words(self, text: str | None) -> set[str]:
-        return set(WORD.findall(self.restore(text))) if text else set()
+        return {w for t in self.tokens(text) for w in self.token_words(t)}
 
 
 def grams(word: str) -> list[str]:
@@ -148,36 +161,57 @@ def grams(word: str) -> list[str]:
 
 
 class Scorer:
-    """Scores of restored word sets: the features are present or absent."""
-
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
-        self.memo: dict[str, tuple[str, ...]] = {}
-
-    def hits(self, words: set[str]) -> set[str]:
-        memo, out = self.memo, set()
-        for w in words:
-            if (h := memo.get(w)) is None:
+    """Scores of restored texts. A feature (gram, level) holds if at least `level` different words have the gram."""
+
+    def __init__(self, weights: dict[str, list[float]], bias: float, restorer: Restorer | None = None):
+        self.weights, self.bias, self.restorer = weights, bias, restorer
+        self.begins = {g[: GRAMS[0]] for g in weights}
+        self.memo: dict[str, tuple] = {}
+
+    def word_hits(self, word: str) -> list[str]:
+        """The features of a word."""
+        s, n = f"^{word}$", GRAMS[0]
+        begins = self.begins
+        if len(s) > n and not any(s[i : i + n] in begins for i in range(len(s) - n + 1)):
+            return []
+        return [g for g in grams(word) if g in self.weights]
+
+    def counts(self, tokens: set[str]) -> dict[str, int]:
+        """How many different words of a text have each gram; what a token has is kept, for at most MEMO tokens."""
+        memo, words = self.memo, {}
+        for t in tokens:
+            h = memo.get(t)
+            if h is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                h = memo[w] = tuple(g for g in grams(w) if g in self.weights)
+                h = memo[t] = tuple((w, g) for w in self.restorer.token_words(t) if (g := self.word_hits(w)))
             if h:
-                out.update(h)
-        return out
+                words.update(h)
+        return counted(words.values())
 
-    def score(self, words: set[str]) -> float:
-        z = self.bias + sum(sorted(self.weights[h] for h in self.hits(words)))
+    def value(self, counts: dict[str, int]) -> float:
+        z = self.bias + math.fsum(w for g, n in counts.items() for w in self.weights[g][:n])
         return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
 
+    def score(self, text: str | None) -> float:
+        return self.value(self.counts(self.restorer.tokens(text)))
+
+
+def counted(hits) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for gs in hits:
+        for g in gs:
+            out[g] = out.get(g, 0) + 1
+    return out
+
 
 _kept: dict[str, object] = {}
 
 
 def kept(key: str, make):
-    """One object for a key in each worker process, the last few keys."""
+    """One object in each worker process, that of the last key."""
     if key not in _kept:
-        if len(_kept) > 3:
-            _kept.clear()
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]
 
@@ -201,8 +235,8 @@ def fit_logistic(rows: list[tuple[list[int], int]], n: int, l2: float = 1e-4, ro
     return w.tolist(), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, cost, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[dict[str, float], float]:
-    """The weights of the selected features and the bias."""
+def train(docs: DataFrame, labels: DataFrame, cost, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[dict[str, list[float]], float]:
+    """The weights of the selected grams, one a level, and the bias."""
     learn = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col(doc_id).cast("string")) % FOLDS != 0))
     picked = learn.select(doc_id, F.col(label).cast("int").alias("y")).orderBy(F.xxhash64(doc_id), doc_id, "y").limit(sample)
 
@@ -215,39 +249,42 @@ def train(docs: DataFrame, labels: DataFrame, cost, *, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(words, pa.list_(pa.string()))], ["y", "words"])
 
     rows = docs.select(F.col(doc_id), F.col(text).alias("t")).join(F.broadcast(picked), doc_id).select("y", "t")
-    # near copies would pass their chance words off as frequent: of rows that agree in three minima of hashes one is learned from
+    # near copies would pass their chance words off as frequent: what agrees in three minima of hashes counts as one document
     least = lambda salt: F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(salt))))
-    known = materialize(rows.mapInArrow(restored, "y int, words array<string>").dropDuplicates(["y", "words"]).withColumn("m", F.struct(least(1), least(2), least(3))).groupBy("y", "m").agg(F.min("words").alias("words")).drop("m"), "op5-sample")
+    known = materialize(rows.mapInArrow(restored, "y int, words array<string>").dropDuplicates(["y", "words"]).withColumn("like", F.xxhash64(least(1), least(2), least(3))), "op5-sample")
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic or toxic == n:
         return {}, -math.inf
-    by_word = known.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
+    by_word = known.select("y", "like", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n"), F.countDistinct(F.when(F.col("y") == 1, F.col("like"))).alias("d"))
     s = F.concat(F.lit("^"), "w", F.lit("$"))
     size = F.length("w") + 2
     parts_of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))
     parts = [F.when(size >= k, parts_of(k)).otherwise(F.array().cast("array<string>")) for k in GRAMS]
-    by_gram = by_word.select("t", "n", F.explode(F.array_distinct(F.concat(F.array(s), *parts))).alias("g")).groupBy("g").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    by_gram = by_word.select("t", "n", "d", F.explode(F.array_distinct(F.concat(F.array(s), *parts))).alias("g")).groupBy("g").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum("d").alias("d"))
     rate = toxic / n
     odds = F.log(((F.col("t") + 0.5 * rate) / (F.col("n") - F.col("t") + 0.5 * (1 - rate))) * ((1 - rate) / rate))
     above = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    chosen = [r.g for r in by_gram.where("t >= 3").where((odds > 1) & (above >= DEVIATIONS)).orderBy(F.desc(odds * F.sqrt("t")), "g").limit(FEATURES).collect()]
+    chosen = [r.g for r in by_gram.where(F.col("d") >= max(5, toxic // 200)).where((odds > 1) & (above >= DEVIATIONS)).orderBy(F.desc(odds * F.sqrt("t")), "g").limit(FEATURES).collect()]
     number = {g: i for i, g in enumerate(chosen)}
 
     def incidence(batches):
         import pyarrow as pa
 
-        scorer = Scorer(dict.fromkeys(number, 0.0), 0.0)
+        scorer = Scorer(dict.fromkeys(number, []), 0.0)
         for b in batches:
-            hits = [sorted(number[g] for g in scorer.hits(set(w))) for w in b.column("words").to_pylist()]
+            hits = []
+            for w in b.column("words").to_pylist():
+                n = counted(map(scorer.word_hits, w))
+                hits.append(sorted(number[g] * LEVELS + k for g, c in n.items() for k in range(min(c, LEVELS))))
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(hits, pa.list_(pa.int32()))], ["y", "hits"])
 
     seen = [(r.hits, r.y) for r in known.mapInArrow(incidence, "y int, hits array<int>").collect()]
-    weights, bias = fit_logistic(sorted(seen), len(chosen))
-    return dict(zip(chosen, weights)), bias
+    weights, bias = fit_logistic(sorted(seen), len(chosen) * LEVELS)
+    return {g: weights[i * LEVELS : (i + 1) * LEVELS] for g, i in number.items()}, bias
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
-    """docs with a column toxicity, 0 to 1."""
+def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, score: str = "toxicity") -> DataFrame:
+    """docs with a column score, 0 to 1."""
     import hashlib
 
     ship(docs.sparkSession)
@@ -259,14 +296,14 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     def of(batches):
         import pyarrow as pa
 
-        restorer, scorer = kept(key, lambda: (Restorer(cost), Scorer(weights, bias)))
+        scorer = kept(key, lambda: Scorer(weights, bias, Restorer(cost)))
         for b in batches:
-            scores = pa.array([scorer.score(restorer.words(t)) for t in b.column(at).to_pylist()], pa.float64())
+            scores = pa.array([scorer.score(t.as_py()) for t in b.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], [*(f"c{i}" for i in range(b.num_columns)), "toxicity"])
 
     names = [f"c{i}" for i in range(len(docs.columns))]  # extra columns may clash
     out = docs.toDF(*names).mapInArrow(of, ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes)) + ", toxicity double")
-    return out.toDF(*docs.columns, "toxicity")
+    return out.toDF(*docs.columns, score)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,4 +315,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score stays below 0.5, all columns kept."""
-    return scored(docs, labels).where("toxicity < 0.5").drop("toxicity")
+    name = fresh("toxicity", docs.columns)
+    return scored(docs, labels, score=name).where(F.col(name) < 0.5).drop(name)
