@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from millrace.llm import decontaminate, exact_dedup, packing, similar, toxicity
 from millrace.llm._common import new_path, read
 
 
@@ -25,8 +25,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the smallest doc_id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of documents that are similar to 0.8 or more in their 5-word shingles the smallest doc_id stays."""
+    return similar.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

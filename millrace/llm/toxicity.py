@@ -36,7 +36,7 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: Costs in nats of the channel: a look-alike, a character that stands for nothing (one that looks like a letter seldom does), a space that does, a repetition, a kept symbol.
 LOOK, DROP, DROP_LOOK, JOIN, REPEAT, KEEP = 1.5, 3.0, 9.0, 1.0, 1.0, 4.0
 #: A feature must be more frequent among toxic documents than chance by so many standard deviations.
-DEVIATIONS = 4.0
+DEVIATIONS = 6.0
 
 _LETTER = r"[^\W\d_]"
 _LOOK = "[" + re.escape("".join(LOOKALIKES)) + "]"

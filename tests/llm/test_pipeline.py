@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_stages(spark):
-    from test_dedup import LOW, brute_fingerprint, linked
+    from test_dedup import LOW
+    from test_similar import estimated
     from test_text_joins import words
 
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -36,12 +37,9 @@ def test_stages(spark):
                 best[k] = max(best.get(k := (t or "").translate(LOW), i), i)
             assert got == set(best.values())
         elif name == "simhash_near_dedup":
-            fp = {i: brute_fingerprint(t) for i, t in rows.items()}
-            root = linked(set(fp.values()))
-            least = {}
-            for i in sorted(rows):
-                least.setdefault(root[fp[i]], i)
-            assert got == set(least.values())
+            ids = sorted(rows)
+            root = estimated([rows[i] for i in ids])
+            assert got == {ids[r] for r in root}
         elif name == "decontamination":
             clean = {i for i, t in rows.items() if not any(tuple(w[p : p + n]) in windows for w in [words(t)] for n in sizes for p in range(len(w) - n + 1))}
             assert got == clean
