@@ -1,13 +1,13 @@
 """Token ids of a byte-level BPE vocabulary, by the tokenizers library.
 
 Byte-level BPE merges within the pieces that its pattern cuts a text into, so the library is asked once for each distinct piece and the
-answer is kept (at most MEMO pieces a worker). Texts with anything on which two implementations of the pattern could differ (characters
+answer is kept (at most MEMO pieces a worker, some 50 MB: executors may run more workers than tasks). Texts with anything on which two implementations of the pattern could differ (characters
 beyond Latin, controls, a special token's brackets) go through the library whole.
 """
 
 from __future__ import annotations
 
-MEMO = 600_000
+MEMO = 250_000
 #: Highest character of the texts that are cut here: the Latin blocks, without controls other than tab and line ends, no-break space and soft hyphen.
 PLAIN = "".join(c for c in map(chr, range(0x250)) if c in "\t\n\r" or c.isprintable())
 
@@ -38,18 +38,28 @@ class Encoder:
         import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        import numpy as np
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.path, self.tokenizer = path, None
+        self.by_piece = Tokenizer.from_file(path)
+        self.by_piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # pieces are cut already
+        vocab = self.by_piece.get_vocab()
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token)
         self.cut = re.compile(plain_pattern()).findall
         self.plain = re.compile(f"[{re.escape(PLAIN)}]*").fullmatch
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = tuple(t.content for t in self.by_piece.get_added_tokens_decoder().values())
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         import numpy as np
+        from tokenizers import Tokenizer
 
+        if self.tokenizer is None:
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _pieces(self, pieces: list[str]) -> None:
@@ -58,12 +68,13 @@ class Encoder:
 
         for i in range(0, len(pieces), 2000):
             some = pieces[i : i + 2000]
-            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            cuts = [0, *((np.flatnonzero(np.diff(e.word_ids)) + 1) * 4).tolist(), len(ids)]
-            if len(cuts) != len(some) + 1:
-                raise ValueError("a piece has no ids")
-            self.memo.update(zip(some, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+            ids = np.array(self.by_piece.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum([len(x.encode()) for x in some])
+            last = np.searchsorted(ends, wanted)
+            if not np.array_equal(ends[last], wanted):
+                raise ValueError("tokens don't end where pieces do")
+            raw, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
+            self.memo.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is empty."""
@@ -82,7 +93,7 @@ class Encoder:
         return [b"".join(map(got, p)) if p is not None else self._whole(t) for t, p in zip(texts, cut)]
 
 
-def in_chunks(lengths: list[int], most: int = 1_000_000):
+def in_chunks(lengths: list[int], most: int = 500_000):
     """Ranges of consecutive texts of together about most characters."""
     at, total = 0, 0
     for i, n in enumerate(lengths):
