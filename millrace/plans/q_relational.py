@@ -344,11 +344,11 @@ def weighted_vote(t: Tables) -> DataFrame:
 
 
 @query("AGG-11", sql="""
-WITH v AS (SELECT l_partkey, l_returnflag AS kind, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS p FROM lineitem WHERE l_quantity > 40), g AS (SELECT l_partkey, kind, max(p) AS p, count(*) AS n FROM v GROUP BY 1, 2)
+WITH v AS (SELECT l_partkey, l_returnflag AS kind, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS p FROM lineitem), g AS (SELECT l_partkey, kind, max(p) AS p, count(*) AS n FROM v GROUP BY 1, 2)
 SELECT l_partkey, kind FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY p DESC, n DESC, kind) AS r FROM g) WHERE r = 1""")
 def priority_vote(t: Tables) -> DataFrame:
     """Specific kinds beat votes."""
-    v = t.lineitem.where("l_quantity > 40").select("l_partkey", F.col("l_returnflag").alias("kind"), F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0).alias("p"))
+    v = t.lineitem.select("l_partkey", F.col("l_returnflag").alias("kind"), F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0).alias("p"))
     return search.priority_vote(v, "l_partkey", "kind", "p")
 
 
