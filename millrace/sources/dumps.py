@@ -46,9 +46,9 @@ def value(alts: tuple[str, ...], kind: str) -> Column:
     return F.coalesce(*parts)
 
 
-def load(spark: SparkSession, spec: SourceSpec, path: str) -> DataFrame:
-    """Rows of the dumps at path."""
-    docs = spark.read.schema(spec.schema()).option("multiLine", True).option("primitivesAsString", False).json(path)
+def load(spark: SparkSession, spec: SourceSpec, path: str, lines: bool = False) -> DataFrame:
+    """Rows of the dumps at path: a document a file, or a line."""
+    docs = spark.read.schema(spec.schema()).option("multiLine", not lines).json(path)
     items = F.coalesce(*(F.col(f"`{p}`") for p in spec.path), F.array().cast(f"array<{spec.item()}>"))
     rows = docs.select(F.explode(items).alias("x"))
     cols = [value(alts, kind).alias(name) for name, (kind, alts) in spec.columns.items()] + [F.col(f"x.`{n}`").alias(n) for n in spec.nested]
