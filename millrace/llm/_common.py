@@ -79,9 +79,26 @@ def drop_rows(keyed: DataFrame, name: str, rows: DataFrame) -> DataFrame:
     return keyed.join(materialize(rows.toDF(name), "dropped"), name, "left_anti").drop(name)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make):
+    """One object in each worker process, that of the last key: what a model has learned of its texts stays from task to task, and goes when another comes."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this subpackage to the Python workers, once for each context: they need not have it installed."""
+    """Send this subpackage to the Python workers, once for each context: they need not have it installed.
+
+    Batches sent to them are made small where the session has Spark's defaults, since a row may hold a whole book.
+    """
     context = spark.sparkContext
+    for name, default, small in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "16m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", small)
     if getattr(context, "_millrace_shipped", False):
         return
     import os

@@ -1,13 +1,14 @@
 """Token ids of a byte-level BPE vocabulary, by the tokenizers library.
 
 Byte-level BPE merges within the pieces that its pattern cuts a text into, so the library is asked once for each distinct piece and the
-answer is kept (at most MEMO pieces a worker, some 50 MB: executors may run more workers than tasks). Texts with anything on which two implementations of the pattern could differ (characters
+answer is kept (at most about MEMO pieces a worker, some 70 MB: executors may run more workers than tasks). Pieces are numbered as they
+come; the ids of a chunk of texts are then gathered from one array. Texts with anything on which two implementations of the pattern could differ (characters
 beyond Latin, controls, a special token's brackets) go through the library whole.
 """
 
 from __future__ import annotations
 
-MEMO = 250_000
+MEMO = 300_000
 #: Highest character of the texts that are cut here: the Latin blocks, without controls other than tab and line ends, no-break space and soft hyphen.
 PLAIN = "".join(c for c in map(chr, range(0x250)) if c in "\t\n\r" or c.isprintable())
 
@@ -30,6 +31,19 @@ def plain_pattern() -> str:
     return PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
 
 
+class Numbers(dict):
+    """Numbers of pieces; a new piece gets the next one and waits in pending."""
+
+    def __init__(self):
+        super().__init__()
+        self.pending: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.pending.append(piece)
+        return n
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
 
@@ -51,8 +65,7 @@ class Encoder:
         self.cut = re.compile(plain_pattern()).findall
         self.plain = re.compile(f"[{re.escape(PLAIN)}]*").fullmatch
         self.special = tuple(t.content for t in self.by_piece.get_added_tokens_decoder().values())
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._forget()
 
     def _whole(self, text: str) -> bytes:
         import numpy as np
@@ -62,35 +75,55 @@ class Encoder:
             self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _pieces(self, pieces: list[str]) -> None:
-        """Ask the library for the ids of pieces, many a call, and keep them."""
+    def _forget(self) -> None:
+        import numpy as np
+
+        self.memo = Numbers()
+        self.known, self.filled = 0, 0  # pieces and ids that the arrays hold
+        self.start, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    def _learn(self) -> None:
+        """Ask the library for the ids of the pending pieces, many a call."""
         import numpy as np
 
+        pieces, self.memo.pending = self.memo.pending, []
         for i in range(0, len(pieces), 2000):
             some = pieces[i : i + 2000]
-            ids = np.array(self.by_piece.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.by_piece.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
             ends, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum([len(x.encode()) for x in some])
-            last = np.searchsorted(ends, wanted)
-            if not np.array_equal(ends[last], wanted):
+            last = np.searchsorted(ends, wanted) + 1
+            if not np.array_equal(ends[last - 1], wanted):
                 raise ValueError("tokens don't end where pieces do")
-            raw, cuts = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
-            self.memo.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+            while self.known + len(some) > len(self.start):
+                self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
+            while self.filled + len(ids) > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * len(self.ids))
+            first = np.concatenate([[0], last[:-1]])
+            self.start[self.known : self.known + len(some)] = self.filled + first
+            self.count[self.known : self.known + len(some)] = last - first
+            self.ids[self.filled : self.filled + len(ids)] = ids
+            self.known, self.filled = self.known + len(some), self.filled + len(ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is empty."""
+        from itertools import chain
+
+        import numpy as np
+
+        if len(self.memo) > MEMO:
+            self._forget()
         texts = [t or "" for t in texts]
         cut = [self.cut(t) if self.plain(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = {x for p in cut if p is not None for x in p}
-        if len(self.memo) > MEMO // 2:  # two generations: what is still in use moves on
-            self.older, self.memo = self.memo, {}
-        new.difference_update(self.memo)
-        if old := new & self.older.keys():
-            self.memo.update((x, self.older[x]) for x in old)
-            new -= old
-        if new:
-            self._pieces(list(new))
-        got = self.memo.__getitem__
-        return [b"".join(map(got, p)) if p is not None else self._whole(t) for t, p in zip(texts, cut)]
+        sizes = [len(p) if p is not None else 0 for p in cut]
+        number = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(p for p in cut if p is not None)), np.int64, sum(sizes))
+        if self.memo.pending:
+            self._learn()
+        counts = self.count[number]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        raw = self.ids[np.repeat(self.start[number] - (ends - counts), counts) + np.arange(total)].astype("<u4").tobytes()
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *sizes])].tolist()
+        return [raw[4 * a : 4 * b] if p is not None else self._whole(t) for t, p, a, b in zip(texts, cut, upto, upto[1:])]
 
 
 def in_chunks(lengths: list[int], most: int = 500_000):
@@ -105,11 +138,8 @@ def in_chunks(lengths: list[int], most: int = 500_000):
         yield range(at, len(lengths))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    from millrace.llm._common import kept
+
+    return kept(f"encoder {path}", lambda: Encoder(path))

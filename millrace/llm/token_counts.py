@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import read, ship
+from millrace.llm._common import kept, read, ship
 
 LIMIT = 4096
-MEMO = 500_000
+MEMO = 300_000
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 
@@ -101,13 +101,9 @@ class Counter:
         return total
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    """One for each worker process."""
+    return kept(f"counter {path}", lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:

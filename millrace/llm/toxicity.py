@@ -22,7 +22,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import fresh, materialize, read, ship
+from millrace.llm._common import fresh, kept, materialize, read, ship
 
 FOLDS = 5
 SAMPLE = 20_000
@@ -205,17 +205,6 @@ def counted(hits) -> dict[str, int]:
     return out
 
 
-_kept: dict[str, object] = {}
-
-
-def kept(key: str, make):
-    """One object in each worker process, that of the last key."""
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = make()
-    return _kept[key]
-
-
 def fit_logistic(rows: list[tuple[list[int], int]], n: int, l2: float = 1e-4, rounds: int = 1500) -> tuple[list[float], float]:
     """Weights (none negative: a feature is evidence for toxicity or nothing) and bias of a logistic regression over sets of features, by gradient steps with momentum."""
     import numpy as np

@@ -48,14 +48,14 @@ def test_ids_equal_the_library(tokenizer, encode, text):
     assert np.frombuffer(encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_memo_generations(tokenizer, monkeypatch):
+def test_memo_is_bounded(tokenizer, monkeypatch):
     monkeypatch.setattr("millrace.llm.byte_bpe.MEMO", 20)
     e = Encoder(vocabulary())
     texts = [f"word{i} and more{i % 7} words" for i in range(60)]
     for _ in range(2):
         for t in texts:
             assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
-    assert len(e.memo) < 40
+    assert len(e.memo) < 60
 
 
 def test_token_counts(documents, odd_rows, pieces):
