@@ -5,7 +5,7 @@ between their shingle sets, and with the sets' sizes their Jaccard similarity; t
 16 bits, voted by 3-word shingles, which change less. Within a key, the distances to PIVOTS reference signatures are precomputed; pairs whose
 largest coordinate difference exceeds the radius are discarded, survivors are compared, and what links becomes a spanning forest: no
 connection is lost, and a group of any size gives fewer links than it has members. Keys with more than CROWD members are divided by a
-second key of the same kind first.
+second key of the same kind first, which leaves a key 2**-16 of the texts that have nothing in common.
 
 Texts of one signature are one class with its smallest id; classes join into components over all keys' forests.
 
@@ -94,8 +94,15 @@ def references():
     return mixed(np.arange(1, PIVOTS + 1, dtype=np.uint64) << np.uint64(32), WORDS)
 
 
+SWEEP = 64
+
+
 def forest(keys, nodes, signatures, sizes, threshold: float) -> list[tuple]:
-    """Links (a, b) that connect what all links of estimated similarity threshold under equal keys connect. keys are sorted; signatures are rows of words."""
+    """Links (a, b) that connect what all links of estimated similarity threshold under equal keys connect. keys are sorted; signatures are rows of words.
+
+    Rows are compared with the next SWEEP - 1 of their key; pairs that are connected already are skipped. In a longer run, every row outside
+    its largest component is then compared with all rows outside its own: a dense group of any size costs little more than its length.
+    """
     import numpy as np
 
     n, most = len(keys), radius(threshold)
@@ -103,25 +110,47 @@ def forest(keys, nodes, signatures, sizes, threshold: float) -> list[tuple]:
     table = np.stack([np.bitwise_count(signatures ^ p).sum(1, dtype=np.int32) for p in references()], axis=1)
     label = np.arange(n)
     out = []
+
+    def alike(x, y):
+        """Which pairs of rows are similar: first by the largest coordinate difference, then by their distance."""
+        ok = np.flatnonzero(np.abs(table[x] - table[y]).max(1) <= most)
+        x, y = x[ok], y[ok]
+        apart = np.bitwise_count(signatures[x] ^ signatures[y]).sum(1, dtype=np.int32)
+        p, q = sizes[x], sizes[y]
+        common = np.cos(np.pi / BITS * apart) * np.sqrt(p * q)
+        good = (apart <= most) & (common >= threshold * (p + q - common))
+        return x[good], y[good]
+
+    def connect(x, y):
+        for a, b in zip(x.tolist(), y.tolist()):
+            p, q = label[a], label[b]
+            if p != q:
+                out.append((nodes[a], nodes[b]))
+                own = label[np.searchsorted(keys, keys[a]) : ends[a]]
+                own[own == q] = p
+
     i = np.arange(n)
-    d = 1
-    while len(i := i[i + d < ends[i]]):
+    for d in range(1, SWEEP):
+        i = i[i + d < ends[i]]
+        if not len(i):
+            break
         a = i[label[i] != label[i + d]]
         for s in range(0, len(a), 65536):
-            x = a[s : s + 65536]
-            x = x[np.abs(table[x] - table[x + d]).max(1) <= most]
-            apart = np.bitwise_count(signatures[x] ^ signatures[x + d]).sum(1, dtype=np.int32)
-            p, q = sizes[x], sizes[x + d]
-            common = np.cos(np.pi / BITS * apart) * np.sqrt(p * q)
-            x = x[(apart <= most) & (common >= threshold * (p + q - common))]
-            for j in x.tolist():
-                p, q = label[j], label[j + d]
-                if p != q:
-                    out.append((nodes[j], nodes[j + d]))
-                    lo, hi = np.searchsorted(keys, keys[j]), ends[j]
-                    own = label[lo:hi]
-                    own[own == q] = p
-        d += 1
+            connect(*alike(a[s : s + 65536], a[s : s + 65536] + d))
+    lo = 0
+    while lo < n:
+        hi = int(ends[lo])
+        if hi - lo > SWEEP:
+            names, members = np.unique(label[lo:hi], return_counts=True)
+            largest = names[members.argmax()]
+            anchor = lo + int(np.flatnonzero(label[lo:hi] == largest)[0])
+            for x in (lo + np.flatnonzero(label[lo:hi] != largest)).tolist():
+                if label[x] != label[anchor]:
+                    y = lo + np.flatnonzero(label[lo:hi] != label[x])
+                    for s in range(0, len(y), 65536):
+                        part = y[s : s + 65536]
+                        connect(*alike(np.full(len(part), x), part))
+        lo = hi
     return out
 
 

@@ -105,3 +105,30 @@ def test_forest_is_linear():
     keys = np.array([7] * 400 + [9] * 100)
     nodes = [bytes([i // 256, i % 256]) for i in range(500)]
     assert len(similar.forest(keys, nodes, sig, np.full(500, 100.0), 0.8)) == 399 + 99
+
+
+def test_forest_equals_all_pairs():
+    """Components of long runs of families, bridges and strangers."""
+    rnd = np.random.default_rng(2)
+    rows = []
+    for _ in range(12):
+        c = rnd.integers(0, 2**63, similar.WORDS).astype(np.uint64)
+        for _ in range(rnd.integers(1, 60)):
+            x = np.unpackbits(c.view(np.uint8))
+            x[rnd.choice(similar.BITS, rnd.integers(0, 130), replace=False)] ^= 1
+            rows.append(np.packbits(x).view(np.uint64))
+    sig = np.array(rows)[rnd.permutation(len(rows))]
+    n = len(sig)
+    assert n > 2 * similar.SWEEP
+    apart = np.bitwise_count(sig[:, None] ^ sig[None]).sum(2)
+    root = list(range(n))
+    for a, b in zip(*np.nonzero(np.triu(apart <= similar.radius(0.8), 1))):
+        x, y = find(root, a), find(root, b)
+        root[max(x, y)] = min(x, y)
+    want = [find(root, i) for i in range(n)]
+    links = similar.forest(np.zeros(n, np.int64), list(range(n)), sig, np.full(n, 500.0), 0.8)
+    root = list(range(n))
+    for a, b in links:
+        x, y = find(root, a), find(root, b)
+        root[max(x, y)] = min(x, y)
+    assert [find(root, i) for i in range(n)] == want and len(links) == n - len(set(want))
