@@ -41,13 +41,13 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
 
 
 def frequencies(docs_words: DataFrame, toks: DataFrame) -> DataFrame:
-    """tok, df: how often the words of toks (written, distinct) occur in all documents."""
+    """tok, df: how often the words of toks (written, distinct) occur in all documents; few enough of them come as a broadcast."""
     blocks = max(1, -(-toks.count() // (4 * MAX_BROADCAST_WINDOWS)))
     parts = []
     for b in range(blocks):
         mine = toks if blocks == 1 else toks.where(F.pmod(F.xxhash64("tok"), F.lit(blocks)) == b)
         parts.append(docs_words.select(F.explode("w").alias("tok")).join(F.broadcast(mine), "tok").groupBy("tok").agg(F.count("*").alias("df")))
-    return reduce(DataFrame.unionByName, parts)
+    return F.broadcast(parts[0]) if blocks == 1 else reduce(DataFrame.unionByName, parts)
 
 
 def prefixed(docs_words: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
