@@ -3,7 +3,8 @@
 Arrivals are appended as small immutable shards. Compaction looks at runs of similar size: shards below the target are divided into tiers
 by size, and within a tier neighbours are merged into files of about the target size, each by a task that reads only its own runs. Neither
 step changes a shard that is there. A new manifest, the list of the live shards, is written aside and put in place under the next version
-by a rename that fails if that version exists, so that readers see all of a step or nothing, and of two writers one.
+by a rename that fails if that version exists, so that readers see all of a step or nothing, and of two writers one; what the other wrote
+has names of its own and is never read.
 
 Sizes are counted in bytes of text. Defined results: null texts count 0 bytes; a null id goes to the arrival of the id 'null'. Repeated
 rows stay. All columns are stored. An empty table makes a version without shards.
@@ -25,7 +26,7 @@ TARGET = 64 << 20
 FACTOR = 4
 #: The partition column of stored rows; documents must not have one of this name.
 SHARD = "millrace_shard"
-MANIFEST = "shard long, tier int, rows long, bytes long, runs int"
+MANIFEST = "shard long, name string, tier int, rows long, bytes long, runs int"
 
 
 def tier(size):
@@ -46,7 +47,7 @@ class Store:
         return max([0, *(int(s.getPath().getName()[1:]) for s in self._fs.listStatus(self._path(f"{self.root}/versions")))])
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """The live shards: shard, tier, rows, bytes, runs (arrivals it holds)."""
+        """The live shards: shard, name (of its folder), tier, rows, bytes, runs (arrivals it holds)."""
         v = self.version() if version is None else version
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/versions/v{v:08d}") if v else self.spark.createDataFrame([], MANIFEST)
 
@@ -59,9 +60,8 @@ class Store:
         context.rename(self._path(aside), self._path(place), options)
 
     def rows(self, version: int | None = None) -> DataFrame:
-        """All documents of a version, with the column SHARD."""
-        live = [r.shard for r in self.manifest(version).select("shard").collect()]
-        paths = [f"{self.root}/data/{SHARD}={s}" for s in live]
+        """All documents of a version, with the column SHARD, the name of theirs; None without shards."""
+        paths = [f"{self.root}/data/{SHARD}={r.name}" for r in self.manifest(version).select("name").collect()]
         return self.spark.read.option("basePath", f"{self.root}/data").parquet(*paths) if paths else None
 
     def append(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", arrival: int = ARRIVAL) -> int:
@@ -72,9 +72,10 @@ class Store:
         total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
         n = max(1, -(-total // arrival))
         which = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long") % n + first
-        docs.withColumn(SHARD, which).repartition(SHARD).write.mode("append").option("compression", "zstd").partitionBy(SHARD).parquet(f"{self.root}/data")
+        token = uuid.uuid4().hex
+        docs.withColumn(SHARD, F.concat(which.cast("string"), F.lit(f"-{token}"))).repartition(SHARD).write.mode("append").option("compression", "zstd").partitionBy(SHARD).parquet(f"{self.root}/data")
         sizes = docs.select(which.alias("shard"), size.alias("size")).groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
-        new = sizes.select("shard", tier(F.col("bytes")).alias("tier"), "rows", "bytes", F.lit(1).alias("runs"))
+        new = sizes.select("shard", F.concat(F.col("shard").cast("string"), F.lit(f"-{token}")).alias("name"), tier(F.col("bytes")).alias("tier"), "rows", "bytes", F.lit(1).alias("runs"))
         self.commit(self.manifest(version).unionByName(new), version + 1)
         return version + 1
 
@@ -83,27 +84,27 @@ class Store:
         w = Window.partitionBy("tier").orderBy("shard")
         small = shards.where(F.col("bytes") < target).withColumn("before", F.sum("bytes").over(w) - F.col("bytes"))
         file = Window.partitionBy("tier", F.floor(F.col("before") / target))
-        return small.select("shard", "rows", "bytes", "runs", F.min("shard").over(file).alias("lead"), F.count("*").over(file).alias("members")).where("members > 1")
+        return small.select("shard", "name", "rows", "bytes", "runs", F.min("shard").over(file).alias("lead"), F.count("*").over(file).alias("members")).where("members > 1")
 
     def compact(self, target: int = TARGET, threads: int = 4) -> int:
         """Merge similar runs into files of about target bytes. Returns the version, a new one if anything was merged."""
         version = self.version()
         shards = self.manifest(version)
-        merges = self.plan(shards, target).groupBy("lead").agg(F.sort_array(F.collect_list("shard")).alias("members"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sum("runs").cast("int").alias("runs")).orderBy("lead").collect()
+        merges = self.plan(shards, target).groupBy("lead").agg(F.sort_array(F.collect_list(F.struct("shard", "name"))).alias("members"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sum("runs").cast("int").alias("runs")).orderBy("lead").collect()
         if not merges:
             return version
-        first = shards.agg(F.max("shard") + 1).first()[0]
+        first, token = shards.agg(F.max("shard") + 1).first()[0], uuid.uuid4().hex
 
         def merge(k: int) -> None:
-            paths = [f"{self.root}/data/{SHARD}={s}" for s in merges[k].members]
-            self.spark.read.parquet(*paths).coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/data/{SHARD}={first + k}")
+            paths = [f"{self.root}/data/{SHARD}={s.name}" for s in merges[k].members]
+            self.spark.read.parquet(*paths).coalesce(1).write.option("compression", "zstd").parquet(f"{self.root}/data/{SHARD}={first + k}-{token}")
 
         with ThreadPoolExecutor(threads) as pool:
             list(pool.map(merge, range(len(merges))))
-        new = self.spark.createDataFrame([(first + k, m.rows, m.bytes, m.runs) for k, m in enumerate(merges)], "shard long, rows long, bytes long, runs int")
-        gone = self.spark.createDataFrame([(s,) for m in merges for s in m.members], "shard long")
+        new = self.spark.createDataFrame([(first + k, f"{first + k}-{token}", m.rows, m.bytes, m.runs) for k, m in enumerate(merges)], "shard long, name string, rows long, bytes long, runs int")
+        gone = self.spark.createDataFrame([(s.shard,) for m in merges for s in m.members], "shard long")
         kept = shards.join(gone, "shard", "left_anti")
-        self.commit(kept.unionByName(new.select("shard", tier(F.col("bytes")).alias("tier"), "rows", "bytes", "runs")), version + 1)
+        self.commit(kept.unionByName(new.select("shard", "name", tier(F.col("bytes")).alias("tier"), "rows", "bytes", "runs")), version + 1)
         return version + 1
 
 
@@ -115,9 +116,9 @@ def op10_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = store.manifest(version).withColumnsRenamed({"rows": "shard_rows", "bytes": "shard_bytes"})
     rows = store.rows(version)
     if rows is None:
-        rows = read(spark, sf_dir, "documents").withColumn(SHARD, F.lit(0))
-    rows = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.col(SHARD).cast("long").alias("shard"))
-    return rows.join(live, "shard").withColumn("version", F.lit(version).cast("long"))
+        rows = read(spark, sf_dir, "documents").withColumn(SHARD, F.lit(""))
+    rows = rows.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.col(SHARD).cast("string").alias("name"))
+    return rows.join(live, "name").drop("name").withColumn("version", F.lit(version).cast("long"))
 
 
 ORACLE = f"""

@@ -120,6 +120,17 @@ def test_a_version_is_committed_once(spark, documents, tmp_path):
     assert store.version() == 1 and store.rows().count() == 20
 
 
+def test_two_writers(spark, documents, tmp_path):
+    """Both begin from version 1; the second to commit fails, and the first's rows are whole."""
+    one, two = (shards.Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    one.append(documents(rows_of(50)), arrival=2000)
+    two.version = lambda: 1
+    one.append(documents(rows_of(30, first=100)), arrival=2000)
+    with pytest.raises(Py4JJavaError):
+        two.append(documents(rows_of(40, first=200)), arrival=2000)
+    assert sorted((r.doc_id, r.text) for r in one.rows().collect()) == sorted(rows_of(50) + rows_of(30, first=100))
+
+
 def test_odd_rows_and_empty_table(spark, documents, odd_rows, tmp_path):
     store = shards.Store(spark, f"file://{tmp_path}/s")
     store.append(documents(odd_rows), arrival=1000)
@@ -133,7 +144,7 @@ def test_odd_rows_and_empty_table(spark, documents, odd_rows, tmp_path):
 def test_merges_stay_within_tiers(spark, tmp_path):
     store = shards.Store(spark, f"file://{tmp_path}/s")
     sizes = [1 << 20] * 4 + [20 << 20] * 3 + [100 << 20]
-    m = spark.createDataFrame([(i, 0, 1, b, 1) for i, b in enumerate(sizes)], shards.MANIFEST)
+    m = spark.createDataFrame([(i, str(i), 0, 1, b, 1) for i, b in enumerate(sizes)], shards.MANIFEST)
     m = m.withColumn("tier", shards.tier(m["bytes"]))
     plan = {r.shard: r.lead for r in store.plan(m).collect()}
     assert {plan[i] for i in range(4)} == {0} and {plan[i] for i in (4, 5, 6)} == {4} and 7 not in plan
