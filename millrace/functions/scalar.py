@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.semantics import power_of_two
@@ -77,20 +77,18 @@ def minutes_until(minute: Column, start: int) -> Column:
     return F.pmod(F.lit(start) - minute, F.lit(1440))
 
 
-def remap(df, offsets, families, *, key: str = "family", index: str = "idx", out: str = "mapped"):
+def remap(df: DataFrame, offsets: DataFrame, families: DataFrame, *, key: str = "family", index: str = "idx", out: str = "mapped", most: int = 100_000) -> DataFrame:
     """Values moved by their family's shift plus the piecewise offset in force at their index.
 
     families: key, shift. offsets: key, index_from, offset (null: undecided). The offset in force is that of the largest index_from not above
-    the index, found by one pass over the union of both sides in index order; null whenever the family or its offset isn't known.
+    the index, 0 before the first; null whenever the family or its offset isn't known. The breakpoints become intervals, so rows need no
+    order and no family gathers in a task; up to `most` of them come as a broadcast.
     """
-    from pyspark.sql import Window
-
-    marks = offsets.select(key, F.col("index_from").alias("__at"), F.struct(F.col("offset").alias("o")).alias("__mark"), F.lit(0).alias("__side"))
-    cols = [c for c in df.columns if c != key]
-    rows = df.select(key, F.col(index).alias("__at"), F.lit(None).cast(marks.schema["__mark"].dataType).alias("__mark"), F.lit(1).alias("__side"), F.struct(*cols).alias("__row"))
-    both = marks.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)).unionByName(rows)
-    w = Window.partitionBy(key).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__in", F.last("__mark", ignorenulls=True).over(w)).where("__side = 1")
-    joined = found.join(families.select(key, "shift"), key, "left")
-    value = F.col("__at") + F.col("shift") + F.when(F.col("__in").isNull(), F.lit(0)).otherwise(F.col("__in.o"))
-    return joined.select(key, *(F.col(f"__row.{c}").alias(c) for c in cols), value.alias(out))
+    spans = offsets.select(key, F.col("index_from").alias("__from"), F.lead("index_from").over(Window.partitionBy(key).orderBy("index_from")).alias("__to"), F.col("offset").alias("__offset"), F.lit(True).alias("__in"))
+    if offsets.count() <= most:
+        spans = F.broadcast(spans)
+    a, b = df.alias("a"), spans.alias("b")
+    inside = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{index}") >= F.col("b.__from")) & (F.col("b.__to").isNull() | (F.col(f"a.{index}") < F.col("b.__to")))
+    rows = a.join(b, inside, "left").select("a.*", "__in", "__offset").join(families.select(key, F.col("shift").alias("__shift")), key, "left")
+    value = F.col(index) + F.col("__shift") + F.when(F.col("__in"), F.col("__offset")).otherwise(F.lit(0))
+    return rows.withColumn(out, value).drop("__in", "__offset", "__shift")

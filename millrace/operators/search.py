@@ -53,9 +53,8 @@ def classify_tokens(toks: Column, rules: list[tuple[str, list[str]]], default: s
     return F.lit(default) if out is None else out.otherwise(default)
 
 
-def categorise(value: Column, context: Column, rules: list[tuple[str, Column]], default: str = "other") -> Column:
-    """A cascade of predicates over a number and its context; the rules are built from the same columns."""
-    del value, context
+def categorise(rules: list[tuple[str, Column]], default: str = "other") -> Column:
+    """The name of the first predicate that holds, such as over a number and its context."""
     out = None
     for name, cond in rules:
         out = F.when(cond, name) if out is None else out.when(cond, name)

@@ -100,7 +100,7 @@ SELECT category, count(*) AS n FROM (SELECT CASE WHEN o_totalprice < 1000 THEN '
 def categorise_numbers(t: Tables) -> DataFrame:
     p, c = F.col("o_totalprice"), F.col("o_orderpriority")
     rules = [("small", p < 1000), ("urgent_large", c.like("1-%") & (p > 300000)), ("round", F.floor(p) % 100 == 0)]
-    return t.orders.groupBy(search.categorise(p, c, rules).alias("category")).agg(F.count("*").alias("n"))
+    return t.orders.groupBy(search.categorise(rules).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query("JON-01", sql="SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -454,9 +454,4 @@ def remap_piecewise(t: Tables) -> DataFrame:
     families = t.spark.createDataFrame([("A", 1000), ("N", 2000)], "family string, shift long")
     offsets = t.spark.createDataFrame(BREAKS, "family string, index_from long, offset long")
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("family"), F.col("l_partkey").alias("idx"))
-    # few families: the breakpoints become intervals, so that rows need no order and no family gathers in one task
-    w = Window.partitionBy("family").orderBy("index_from")
-    spans = offsets.withColumn("index_to", F.lead("index_from").over(w)).join(families, "family", "right")
-    j = rows.join(F.broadcast(spans), (rows.family == spans.family) & (rows.idx >= F.coalesce("index_from", F.lit(0))) & (F.col("index_to").isNull() | (rows.idx < F.col("index_to"))), "left")  # a stated list
-    del remap
-    return j.select("l_orderkey", "l_linenumber", rows.family, (F.col("idx") + F.col("shift") + F.col("offset")).alias("mapped"))
+    return remap(rows, offsets, families).select("l_orderkey", "l_linenumber", "family", "mapped")
