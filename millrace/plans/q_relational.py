@@ -124,9 +124,10 @@ def join_three_way_cast(t: Tables) -> DataFrame:
     return e.join(t.customer.select("c_custkey", "c_name", "c_nationkey"), "c_custkey").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("event_id", "c_name", "n_name")
 
 
-@query("JON-05", sql="SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("JON-05", sql="SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def anti_not_in(t: Tables) -> DataFrame:
-    keys = t.orders.where("o_custkey IS NOT NULL").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    keys = t.orders.where("o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return t.customer.join(keys, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
@@ -249,12 +250,12 @@ def multi_class_members(t: Tables) -> DataFrame:
 
 
 @query("JON-22", sql="""
-WITH n AS (SELECT n_nationkey, n_name, n_nationkey % 2 AS side, n_nationkey // 2 AS pair, n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000) AS rich, n_nationkey IN (SELECT s_nationkey FROM supplier) AS supplies FROM nation)
+WITH n AS (SELECT n_nationkey, n_name, n_nationkey % 2 AS side, n_nationkey // 2 AS pair, n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AS rich, n_nationkey IN (SELECT s_nationkey FROM supplier) AS supplies FROM nation)
 SELECT a.n_name AS a_name, b.n_name AS b_name, f AS feature FROM n a JOIN n b ON a.pair = b.pair AND a.side = 0 AND b.side = 1, (VALUES ('rich'), ('supplies')) x(f)
 WHERE (f = 'rich' AND a.rich <> b.rich) OR (f = 'supplies' AND a.supplies <> b.supplies)""")
 def asymmetric_pairs(t: Tables) -> DataFrame:
     """Partners that differ in a feature."""
-    rich = t.customer.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey")).distinct().withColumn("rich", F.lit(True))
+    rich = t.customer.where("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey")).distinct().withColumn("rich", F.lit(True))
     sup = t.supplier.select(F.col("s_nationkey").alias("n_nationkey")).distinct().withColumn("supplies", F.lit(True))
     n = t.nation.join(rich, "n_nationkey", "left").join(sup, "n_nationkey", "left").select("n_name", (F.col("n_nationkey") % 2).alias("side"), F.floor(F.col("n_nationkey") / 2).alias("pair"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.coalesce(f, F.lit(False)).alias("has")) for f in ("rich", "supplies")))).alias("f"))
     side = lambda s, p: n.where(F.col("side") == s).select("pair", F.col("n_name").alias(f"{p}_name"), F.col("f.feature").alias("feature"), F.col("f.has").alias(p))
