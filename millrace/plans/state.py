@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only where it is unset and Spark runs on one machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_millrace_state", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="millrace-state-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+        path = context._millrace_state = "file://" + tempfile.mkdtemp(prefix="millrace-state-")
+    here = context._jvm.org.apache.hadoop.fs.Path(path)
+    whole = here.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(here).toString()
+    return re.sub("^file:/+", "file:///", whole).rstrip("/")
 
 
 def written(df: DataFrame, tag: str = "state") -> DataFrame:
