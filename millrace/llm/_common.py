@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,14 +22,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir. Only where the session names none (tests, one machine) a temporary folder is made."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors and the driver share, as a URI: spark.checkpoint.dir. Only where the session names none (tests, one machine) a temporary folder is made."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_millrace_shared", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="millrace-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+        path = context._millrace_shared = "file://" + tempfile.mkdtemp(prefix="millrace-shared-")
+    here = context._jvm.org.apache.hadoop.fs.Path(path)
+    whole = here.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(here).toString()
+    return re.sub("^file:/+", "file:///", whole).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
