@@ -1,14 +1,14 @@
 """Token ids of a byte-level BPE vocabulary, by the tokenizers library.
 
 Byte-level BPE merges within the pieces that its pattern cuts a text into, so the library is asked once for each distinct piece and the
-answer is kept (at most about MEMO pieces a worker, some 70 MB: executors may run more workers than tasks). Pieces are numbered as they
+answer is kept (at most about MEMO pieces a worker, some 50 MB: executors may run more workers than tasks). Pieces are numbered as they
 come; the ids of a chunk of texts are then gathered from one array. Texts with anything on which two implementations of the pattern could differ (characters
 beyond Latin, controls, a special token's brackets) go through the library whole.
 """
 
 from __future__ import annotations
 
-MEMO = 300_000
+MEMO = 220_000
 #: Highest character of the texts that are cut here: the Latin blocks, without controls other than tab and line ends, no-break space and soft hyphen.
 PLAIN = "".join(c for c in map(chr, range(0x250)) if c in "\t\n\r" or c.isprintable())
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from millrace.llm._common import kept, read, ship
 
 LIMIT = 4096
-MEMO = 300_000
+MEMO = 250_000
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 

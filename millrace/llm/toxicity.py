@@ -122,9 +122,6 @@ def decode(token: str, cost) -> str:
     return min((z + cost[a][b][0], text) for (a, b), (z, text) in states.items())[1]
 
 
-MEMO = 100_000
-
-
 class Restorer:
     """Restored words of texts under a language model."""
 
