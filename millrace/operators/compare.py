@@ -26,7 +26,7 @@ def timeline(history: DataFrame, keys: list[str], period: str, value: str) -> Da
     h = history.groupBy(*keys, period).agg(F.max(value).alias("v"))
     order = h.select(period).distinct().withColumn("n", F.row_number().over(Window.orderBy(period)))  # one row a period
     following = order.select((F.col("n") - 1).alias("n"), F.col(period).alias("__next"))
-    p = h.join(F.broadcast(order), period).join(F.broadcast(following), "n", "left")
+    p = h.join(order, period).join(following, "n", "left")
     w = Window.partitionBy(*keys).orderBy("n")
     p = p.withColumns({"before": F.lag("n").over(w), "was": F.lag("v").over(w), "after": F.lead("n").over(w)})
     added = p.where("before IS NULL OR before < n - 1").select(*keys, period, F.lit("added").alias("action"), F.col("before").isNotNull().alias("readded"))

@@ -179,7 +179,7 @@ def gap_since_last(t: Tables) -> DataFrame:
     y = t.orders.select("o_custkey", F.year("o_orderdate").alias("y")).distinct()
     order = y.select("y").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("y")))  # one row a year
     last = order.count()
-    return compare.gaps(y.join(F.broadcast(order), "y"), ["o_custkey"], "n", last, last)
+    return compare.gaps(y.join(order, "y"), ["o_custkey"], "n", last, last)
 
 
 @query("WIN-07", sql="""
