@@ -4,8 +4,8 @@ A text's signature has BITS bits voted by its distinct 5-word shingles; the shar
 between their shingle sets, and with the sets' sizes their Jaccard similarity; the least angle for ``threshold`` is a radius in bits. Candidates share one of TABLES keys of
 16 bits, voted by 3-word shingles, which change less. Within a key, the distances to PIVOTS reference signatures are precomputed; pairs whose
 largest coordinate difference exceeds the radius are discarded, survivors are compared, and what links becomes a spanning forest: no
-connection is lost, and a group of any size gives fewer links than it has members. Keys with more than CROWD members are divided by a
-second key of the same kind first, which leaves a key 2**-16 of the texts that have nothing in common.
+connection is lost, and a group of any size gives fewer links than it has members. Keys with more than CROWD members are dealt into blocks
+of about CROWD first, and every two blocks meet in a task: all pairs under a key are compared, however many it holds.
 
 Texts of one signature are one class with its smallest id; classes join into components over all keys' forests.
 
@@ -191,18 +191,23 @@ def _and_then(items, last):
     yield last
 
 
+def blocked(rows: DataFrame, bound: int) -> DataFrame:
+    """rows (key, node, ..) under finer keys of at most about 2 * bound rows: a key of more than bound rows is dealt into blocks, and every
+    two of its blocks meet under a key of their own, so each pair of rows under one key before is under one key after."""
+    sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("key", F.ceil(F.col("n") / bound).cast("int").alias("blocks")), "op2-crowded")
+    if not sizes.limit(1).count():
+        return rows
+    few = rows.join(sizes, "key", "left_anti")
+    dealt = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("own") != F.col("other"))
+    return few.unionByName(paired.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select(*rows.columns))
+
+
 def links(classes: DataFrame, threshold: float) -> DataFrame:
     """a, b: links between classes (node, sig, n, keys) of that estimated similarity."""
     key = lambda t, k: F.shiftleft(t.cast("long"), 16).bitwiseOR(k.cast("long"))
     under = classes.select("node", "sig", "n", F.posexplode("keys").alias("t", "k")).select("node", "sig", "n", key(F.col("t"), F.col("k")).alias("key"))
-    sizes = classes.select(F.posexplode("keys").alias("t", "k")).groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
-    crowded = materialize(sizes.select(key(F.col("t"), F.col("k")).alias("key")), "op2-crowded")
-    if not crowded.limit(1).count():
-        return bucket_links(under, threshold).distinct()
-    few = under.join(crowded, "key", "left_anti")
-    again = under.join(crowded, "key", "left_semi").join(classes.select("node", F.posexplode("keys").alias("t", "k")), "node").where(F.shiftright("key", 16) != F.col("t"))
-    finer = again.select("node", "sig", "n", F.xxhash64("key", "t", "k").alias("key"))
-    return bucket_links(few, threshold).unionByName(bucket_links(finer, threshold)).distinct()
+    return bucket_links(blocked(under, CROWD), threshold).distinct()
 
 
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, row: Column | None = None) -> DataFrame:

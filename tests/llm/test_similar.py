@@ -132,3 +132,18 @@ def test_forest_equals_all_pairs():
         x, y = find(root, a), find(root, b)
         root[max(x, y)] = min(x, y)
     assert [find(root, i) for i in range(n)] == want and len(links) == n - len(set(want))
+
+
+def test_crowded_keys_lose_no_pair(spark, monkeypatch):
+    """Classes that share one key only are linked, however crowded it is."""
+    monkeypatch.setattr(similar, "CROWD", 8)
+    rnd = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        sig = rnd.integers(0, 2**63, similar.WORDS).astype(np.uint64).tobytes()
+        for j in range(2):
+            keys = [7, *(int(x) for x in rnd.permutation(30000)[: similar.TABLES - 1] * 2 + j)]
+            rows.append((bytes([i, j]), sig, 100, keys))
+    classes = spark.createDataFrame(rows, "node binary, sig binary, n int, keys array<int>")
+    found = {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in similar.links(classes, 0.8).collect()}
+    assert found == {(bytes([i, 0]), bytes([i, 1])) for i in range(60)}
