@@ -147,3 +147,46 @@ def test_crowded_keys_lose_no_pair(spark, monkeypatch):
     classes = spark.createDataFrame(rows, "node binary, sig binary, n int, keys array<int>")
     found = {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in similar.links(classes, 0.8).collect()}
     assert found == {(bytes([i, 0]), bytes([i, 1])) for i in range(60)}
+
+
+def block_edits(seed, pairs, lengths, n=300):
+    """Pairs of texts that differ in a contiguous passage, replaced or appended; each pair has words of its own."""
+    rnd = random.Random(seed)
+    out = []
+    for p in range(pairs):
+        w = [f"p{p}w{rnd.randrange(5000)}" for _ in range(n)]
+        k = rnd.choice(lengths)
+        new = [f"p{p}x{rnd.randrange(10**6)}" for _ in range(k)]
+        at = rnd.randrange(4, n - k - 4)
+        out += [" ".join(w), " ".join(w + new + new[::-1]) if p % 3 == 0 else " ".join(w[:at] + new + w[at + k :])]
+    return out
+
+
+def test_isolated_pairs_are_linked_by_exact_similarity(documents):
+    """Pairs about the threshold that no third text links: 99 in 100 of those at 0.8 or more, and none below."""
+    texts = block_edits(4, 400, [24, 26, 27, 28, 29, 30, 31, 34])
+    got = {r.id: r.component_id for r in similar.similar_documents(documents(list(enumerate(texts)))).collect()}
+    sure = hit = below = 0
+    for i in range(0, len(texts), 2):
+        a, b = exact_shingles(texts[i]), exact_shingles(texts[i + 1])
+        linked = got[i] == got[i + 1]
+        if len(a & b) >= 0.8 * len(a | b):
+            sure, hit = sure + 1, hit + linked
+        else:
+            below += 1
+            assert not linked
+    assert sure > 100 and below > 50 and hit >= 0.99 * sure, (sure, hit, below)
+
+
+def test_short_texts_are_linked_by_exact_similarity(documents):
+    rnd = random.Random(6)
+    texts = []
+    for p in range(100):
+        w = [f"p{p}w{i}" for i in range(rnd.randint(8, 30))]
+        texts += [" ".join(w), " ".join([*w, *(f"p{p}x{i}" for i in range(rnd.randint(1, 4)))])]
+    got = {r.id: r.component_id for r in similar.similar_documents(documents(list(enumerate(texts)))).collect()}
+    wrong = 0
+    for i in range(0, len(texts), 2):
+        a, b = exact_shingles(texts[i]), exact_shingles(texts[i + 1])
+        wrong += (got[i] == got[i + 1]) != (len(a & b) >= 0.8 * len(a | b))
+    assert wrong <= 1
