@@ -82,6 +82,16 @@ def drop_rows(keyed: DataFrame, name: str, rows: DataFrame) -> DataFrame:
     return keyed.join(materialize(rows.toDF(name), "dropped"), name, "left_anti").drop(name)
 
 
+#: What one task would read, in bytes.
+SMALL = 20 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it is so small that one task would read it all: workers in Python then share it. Larger tables have tasks enough."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+
+
 _kept: dict[str, object] = {}
 
 

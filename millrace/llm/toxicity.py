@@ -1,8 +1,9 @@
 """Toxicity by noisy-channel deobfuscation: restore what a text disguises, then score the restored text.
 
 A character trigram model is counted over all documents. A suspicious token (a look-alike between or before letters, a letter three times
-in a row, single characters set apart) becomes a lattice: a character may stand for itself, for the letters it looks like, for nothing if
-it is no letter, or repeat the letter before. Viterbi decoding finds the path of least cost under channel and language model, over states
+in a row, single characters set apart by any white space) becomes a lattice: a character may stand for itself, for the letters it looks like,
+for nothing if it is no letter, or repeat the letter before. Tokens that are seldom disguises (letters followed by look-alikes, doubled
+letters) are decoded too, and their words as they stand count besides. Viterbi decoding finds the path of least cost under channel and language model, over states
 of the last two letters. The restored text is scored by a logistic regression over words and parts of words, each by whether one, two or
 three of its different words have it.
 
@@ -22,7 +23,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import fresh, kept, materialize, read, ship
+from millrace.llm._common import fresh, kept, materialize, read, ship, spread
 
 FOLDS = 5
 SAMPLE = 20_000
@@ -42,7 +43,14 @@ _LETTER = r"[^\W\d_]"
 _LOOK = "[" + re.escape("".join(LOOKALIKES)) + "]"
 #: Tokens that are decoded hold one of these, and so are runs of single characters.
 TRIGGER = re.compile(rf"{_LETTER}[\d@$!|+€£(¡§¥*._~^-]+{_LETTER}|^{_LOOK}+{_LETTER}|({_LETTER})\1\1").search
-SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+#: The same, where the token as it stands counts too.
+WEAK = re.compile(rf"{_LETTER}{_LOOK}+$|({_LETTER})\1").search
+DOUBLE = re.compile(rf"({_LETTER})\1")
+#: Runs of three letters or look-alikes, or of four characters of any kind.
+_ONE = rf"(?:{_LETTER}|{_LOOK})(?!\S)"
+SPACED = re.compile(rf"(?<!\S)(?:\S(?!\S)(?:\s+\S(?!\S)){{3,}}|{_ONE}(?:\s+{_ONE}){{2}})")
+#: What surrounds a token's letters and look-alikes.
+BARE = re.compile(rf"^(?:(?!{_LETTER}|{_LOOK}).)+|(?:(?!{_LETTER}|{_LOOK}).)+$")
 WORD = re.compile(rf"{_LETTER}+")
 MEMO = 100_000
 
@@ -75,7 +83,7 @@ def count_trigrams(docs: DataFrame, text: str) -> list[tuple[int, int]]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
-    return [(r.code, r.n) for r in docs.select(F.col(text).alias("t")).mapInArrow(of, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()]
+    return [(r.code, r.n) for r in spread(docs.select(F.col(text).alias("t"))).mapInArrow(of, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()]
 
 
 class LanguageModel:
@@ -97,7 +105,7 @@ class LanguageModel:
 
 def decode(token: str, cost) -> str:
     """The text of least cost that a lower-case token may stand for. cost: of a class after two, as nested lists or an array."""
-    states = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # cost, and (what was written last, what came before)
     for i, c in enumerate(token):
         own = char_class(c)
         # (class, or -1 for nothing; what is written; channel cost)
@@ -108,18 +116,23 @@ def decode(token: str, cost) -> str:
         else:
             ways = [(char_class(x), x, LOOK) for x in LOOKALIKES.get(c, "")]
             ways += [(0, c, 0.0), (-1, "", JOIN)] if c == " " else [(0, c, KEEP), (-1, "", DROP_LOOK if c in LOOKALIKES else DROP)]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (z, text) in states.items():
             row = cost[a][b]
             for k, x, w in ways:
                 if k < 0:
                     key, total, out = (a, b), z + w, text
                 else:
-                    key, total, out = (b, k), z + w + row[k], text + x
-                if key not in new or (total, out) < new[key]:
+                    key, total, out = (b, k), z + w + row[k], (x, text)
+                if key not in new or total < new[key][0]:
                     new[key] = (total, out)
         states = new
-    return min((z + cost[a][b][0], text) for (a, b), (z, text) in states.items())[1]
+    text = min(((z + cost[a][b][0], text) for (a, b), (z, text) in states.items()), key=lambda x: x[0])[1]
+    written = []
+    while text is not None:
+        x, text = text
+        written.append(x)
+    return "".join(reversed(written))
 
 
 class Restorer:
@@ -127,15 +140,22 @@ class Restorer:
 
     def __init__(self, cost):
         self.cost = cost.tolist()
+        self.memo: dict[str, list[str]] = {}
 
     def restore(self, text: str) -> str:
-        """The text with what is suspicious decoded."""
+        """The text with what is surely a disguise decoded."""
         out = " ".join(decode(t, self.cost) if TRIGGER(t) else t for t in text.lower().split())
         return SPACED.sub(lambda m: decode(m[0], self.cost), out)
 
-    def token_words(self, token: str) -> list[str]:
-        """The words of a lower-case token."""
-        return WORD.findall(decode(token, self.cost) if TRIGGER(token) else token)
+    def token_words(self, token: str, counts=None) -> list[str]:
+        """The words of a lower-case token; with counts, only as far as words of which that holds go."""
+        if TRIGGER(token):
+            return WORD.findall(decode(token, self.cost))
+        own = WORD.findall(token)
+        core = BARE.sub("", token)
+        if counts and len(DOUBLE.findall(core)) == 1 and core.isalpha() and not counts(DOUBLE.sub(r"\1", core)):
+            return own  # it can only be read as it stands or with one letter less
+        return list(dict.fromkeys([*own, *WORD.findall(decode(core, self.cost))])) if WEAK(core) else own
 
     def tokens(self, text: str | None) -> set[str]:
         """The different tokens of a text, and those that runs of single characters decode to."""
@@ -144,11 +164,19 @@ class Restorer:
         low = text.lower()
         out = set(low.split())
         for m in SPACED.finditer(low):
-            out.update(decode(m[0], self.cost).split())
+            out.update(decode(" ".join(m[0].split()), self.cost).split())
         return out
 
     def words(self, text: str | None) -> set[str]:
-        return {w for t in self.tokens(text) for w in self.token_words(t)}
+        """The different words of a text; what a token holds is kept, for at most MEMO / 5 tokens."""
+        out: set[str] = set()
+        for t in self.tokens(text):
+            if (found := self.memo.get(t)) is None:
+                if len(self.memo) >= MEMO // 5:
+                    self.memo.clear()
+                found = self.memo[t] = self.token_words(t)
+            out.update(found)
+        return out
 
 
 def grams(word: str) -> list[str]:
@@ -181,7 +209,7 @@ class Scorer:
             if h is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                h = memo[t] = tuple((w, g) for w in self.restorer.token_words(t) if (g := self.word_hits(w)))
+                h = memo[t] = tuple((w, g) for w in self.restorer.token_words(t, self.word_hits) if (g := self.word_hits(w)))
             if h:
                 words.update(h)
         return counted(words.values())
@@ -234,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, cost, *, doc_id: str = "doc_id", t
             words = [sorted(r.words(t)) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(words, pa.list_(pa.string()))], ["y", "words"])
 
-    rows = docs.select(F.col(doc_id), F.col(text).alias("t")).join(F.broadcast(picked), doc_id).select("y", "t")
+    rows = spread(docs.select(F.col(doc_id), F.col(text).alias("t"))).join(F.broadcast(picked), doc_id).select("y", "t")
     # near copies would pass their chance words off as frequent: what agrees in three minima of hashes counts as one document
     least = lambda salt: F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(salt))))
     known = materialize(rows.mapInArrow(restored, "y int, words array<string>").dropDuplicates(["y", "words"]).withColumn("like", F.xxhash64(least(1), least(2), least(3))), "op5-sample")
@@ -264,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, cost, *, doc_id: str = "doc_id", t
                 hits.append(sorted(number[g] * LEVELS + k for g, c in n.items() for k in range(min(c, LEVELS))))
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(hits, pa.list_(pa.int32()))], ["y", "hits"])
 
-    seen = [(r.hits, r.y) for r in known.mapInArrow(incidence, "y int, hits array<int>").collect()]
+    seen = [(r.hits, r.y) for r in spread(known).mapInArrow(incidence, "y int, hits array<int>").collect()]
     weights, bias = fit_logistic(sorted(seen), len(chosen) * LEVELS)
     return {g: weights[i * LEVELS : (i + 1) * LEVELS] for g, i in number.items()}, bias
 
@@ -288,7 +316,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([*b.columns, scores], [*(f"c{i}" for i in range(b.num_columns)), "toxicity"])
 
     names = [f"c{i}" for i in range(len(docs.columns))]  # extra columns may clash
-    out = docs.toDF(*names).mapInArrow(of, ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes)) + ", toxicity double")
+    out = spread(docs.toDF(*names)).mapInArrow(of, ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes)) + ", toxicity double")
     return out.toDF(*docs.columns, score)
 
 
