@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import drop_rows, materialize, read, ship, with_row_key
-from millrace.llm.graph import components
+from millrace.llm._common import drop_rows, materialize, read, ship, spread, with_row_key
+from millrace.llm.graph import components, named_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 PIVOTS, CROWD, RUNS = 16, 64, 64
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     ship(docs.sparkSession)
     rows = docs.select((F.monotonically_increasing_id() if row is None else row).alias("rid"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(of, T.StructType([*rows.schema.fields[:2], T.StructField("fp", T.LongType())]))
+    return spread(rows).mapInArrow(of, T.StructType([*rows.schema.fields[:2], T.StructField("fp", T.LongType())]))
 
 
 def references() -> list[int]:
@@ -125,9 +125,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     runs = rows.groupBy("fp", "run").agg(F.min("id").alias("least"))
     classes = materialize(runs.groupBy("fp").agg(F.min("least").alias("least")), "op2-classes")
     roots = components(links(classes.select("fp"), radius))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = runs.select("fp", "run").join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
+    named = runs.select("fp", "run").join(named_components(classes.withColumnRenamed("fp", "node"), roots).withColumnRenamed("node", "fp"), "fp")
     return rows.join(named, ["fp", "run"]).select("rid", "id", "fp", "component_id")
 
 

@@ -7,7 +7,8 @@ Candidates share one of TABLES keys, each of BAND minima of hashes of the shingl
 1 - (1 - J**BAND)**TABLES, wherever they differ (0.9996 at 0.8). Within a key, the distances to PIVOTS reference signatures are precomputed; pairs whose
 largest coordinate difference exceeds the radius are discarded, survivors are compared, and what links becomes a spanning forest: no
 connection is lost, and a group of any size gives fewer links than it has members. Keys with more than CROWD members are dealt into blocks
-of about CROWD first, and every two blocks meet in a task: all pairs under a key are compared, however many it holds.
+of about CROWD, DEALS times over; what that connects is one component. Only rows outside the key's largest component then meet the others,
+block by block: every pair under a key is compared or connected already, and a family of any size costs about its length.
 
 Texts of one signature are one class with its smallest id; classes join into components over all keys' forests.
 
@@ -27,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import drop_rows, materialize, ship, with_row_key
-from millrace.llm.graph import components
+from millrace.llm._common import drop_rows, materialize, ship, spread, with_row_key
+from millrace.llm.graph import components, named_components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TABLES, BAND, SLACK = 20, 5, 0.2
 WORDS = 16
 BITS = 64 * WORDS
-PIVOTS, CROWD, GROUP, RUNS = 16, 4096, 256, 64
+PIVOTS, CROWD, GROUP, RUNS, DEALS = 16, 4096, 512, 64, 2
 
 
 def radius(threshold: float) -> int:
@@ -133,13 +134,15 @@ def jaccard(a, b) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def forest(keys, nodes, signatures, sizes, threshold: float, sets=None) -> list[tuple]:
+def forest(keys, nodes, signatures, sizes, threshold: float, sets=None, labels=None) -> list[tuple]:
     """Links (a, b) that connect what all links of estimated similarity threshold under equal keys connect. keys are sorted; signatures are rows of words.
 
     With sets, the sorted shingle hashes of each row, all links of exact similarity threshold; the estimate, less SLACK, only passes over pairs.
+    Rows of one key with equal labels count as connected already.
 
     Rows are compared with the next SWEEP - 1 of their key; pairs that are connected already are skipped. In a longer run, every row outside
-    its largest component is then compared with all rows outside its own: a dense group of any size costs little more than its length.
+    its largest component is then compared with all rows outside its own: a run that is one family costs about its length, one of
+    strangers its square, which is why runs are bounded. Of two components that join the smaller is renamed.
     """
     import numpy as np
 
@@ -148,8 +151,23 @@ def forest(keys, nodes, signatures, sizes, threshold: float, sets=None) -> list[
     ends = np.searchsorted(keys, keys, side="right")
     table = np.stack([np.bitwise_count(signatures ^ p).sum(1, dtype=np.int32) for p in references()], axis=1)
     label = np.arange(n)
+    members: dict[int, list[int]] = {}
     out = []
 
+    def join(p, q):
+        one, two = members.pop(p, [p]), members.pop(q, [q])
+        if len(one) < len(two):
+            one, two, p = two, one, q
+        label[two] = p
+        one += two
+        members[p] = one
+
+    if labels is not None:
+        first: dict[tuple, int] = {}
+        for i, k in enumerate(zip(keys.tolist(), labels)):
+            if (j := first.setdefault(k, i)) != i:
+                join(int(label[j]), i)
+
     def alike(x, y):
         """Which pairs of rows are similar: first by the largest coordinate difference, then by their distance."""
         ok = np.flatnonzero(np.abs(table[x] - table[y]).max(1) <= most)
@@ -162,11 +180,10 @@ def forest(keys, nodes, signatures, sizes, threshold: float, sets=None) -> list[
 
     def connect(x, y):
         for a, b in zip(x.tolist(), y.tolist()):
-            p, q = label[a], label[b]
+            p, q = int(label[a]), int(label[b])
             if p != q and (sets is None or jaccard(sets[a], sets[b]) >= threshold):
                 out.append((nodes[a], nodes[b]))
-                own = label[np.searchsorted(keys, keys[a]) : ends[a]]
-                own[own == q] = p
+                join(p, q)
 
     i = np.arange(n)
     for d in range(1, SWEEP):
@@ -180,8 +197,8 @@ def forest(keys, nodes, signatures, sizes, threshold: float, sets=None) -> list[
     while lo < n:
         hi = int(ends[lo])
         if hi - lo > SWEEP:
-            names, members = np.unique(label[lo:hi], return_counts=True)
-            largest = names[members.argmax()]
+            names, count = np.unique(label[lo:hi], return_counts=True)
+            largest = names[count.argmax()]
             anchor = lo + int(np.flatnonzero(label[lo:hi] == largest)[0])
             for x in (lo + np.flatnonzero(label[lo:hi] != largest)).tolist():
                 if label[x] != label[anchor]:
@@ -194,9 +211,9 @@ def forest(keys, nodes, signatures, sizes, threshold: float, sets=None) -> list[
 
 
 def bucket_links(rows: DataFrame, threshold: float) -> DataFrame:
-    """a, b: the forests of rows (key, node, sig, n, and shingles for exact links), a key in one task."""
+    """a, b: the forests of rows (key, node, sig, n, shingles for exact links, and root where some are connected already), a key in one task."""
     ship(rows.sparkSession)
-    exact = "shingles" in rows.columns
+    exact, rooted = "shingles" in rows.columns, "root" in rows.columns
 
     def of(batches):
         import numpy as np
@@ -208,7 +225,7 @@ def bucket_links(rows: DataFrame, threshold: float) -> DataFrame:
         def links(t):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(-1, WORDS)
             sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()] if exact else None
-            found = forest(t.column("key").to_numpy(), t.column("node").to_pylist(), sig, t.column("n").to_numpy().astype(float), threshold, sets)
+            found = forest(t.column("key").to_numpy(), t.column("node").to_pylist(), sig, t.column("n").to_numpy().astype(float), threshold, sets, t.column("root").to_pylist() if rooted else None)
             a, b = zip(*found) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
@@ -224,7 +241,7 @@ def bucket_links(rows: DataFrame, threshold: float) -> DataFrame:
                 yield links(t.slice(0, whole))
             held = t.slice(whole)
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sig", "n", *(["shingles"] if exact else [])).mapInArrow(of, "a binary, b binary")
+    return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sig", "n", *(c for c in ("shingles", "root") if c in rows.columns)).mapInArrow(of, "a binary, b binary")
 
 
 def _and_then(items, last):
@@ -232,22 +249,40 @@ def _and_then(items, last):
     yield last
 
 
-def blocked(rows: DataFrame, bound: int) -> DataFrame:
-    """rows (key, node, ..) under finer keys of at most about 2 * bound rows: a key of more than bound rows is dealt into blocks, and every
-    two of its blocks meet under a key of their own, so each pair of rows under one key before is under one key after."""
+def all_links(rows: DataFrame, threshold: float, bound: int) -> DataFrame:
+    """a, b: links that connect what all links under the keys of rows (as of bucket_links) connect; no task holds more than about 2 * bound rows of a key.
+
+    A key of more rows is dealt into blocks, DEALS times by different hashes. A family falls into few components that way, mostly one. Then
+    whatever is outside the largest component of its key meets the rest of it: blocks of outsiders two by two, and each with each block of
+    the largest. Keys that are one component by then cost nothing more.
+    """
     sizes = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("key", F.ceil(F.col("n") / bound).cast("int").alias("blocks")), "op2-crowded")
     if not sizes.limit(1).count():
-        return rows
-    few = rows.join(sizes, "key", "left_anti")
-    dealt = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("own") != F.col("other"))
-    return few.unionByName(paired.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select(*rows.columns))
+        return bucket_links(rows, threshold)
+    hands = rows.join(sizes, "key").withColumn("deal", F.explode(F.array(*map(F.lit, range(DEALS)))))
+    hands = hands.withColumn("key", F.xxhash64("key", "deal", F.pmod(F.xxhash64("node", "key", "deal"), F.col("blocks"))))
+    found = materialize(bucket_links(rows.join(sizes, "key", "left_anti").unionByName(hands.select(*rows.columns)), threshold).distinct(), "op2-links")
+    crowded = rows.join(sizes, "key", "left_semi").select("key", "node")
+    labelled = materialize(crowded.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "op2-labelled")
+    parts = labelled.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n"))
+    left = materialize(parts.where("n > inside").select("key", "main", F.ceil(F.col("inside") / bound).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("inside")) / bound).cast("int").alias("others")), "op2-left")
+    met = rows.join(labelled.join(left, "key"), ["key", "node"]).withColumn("outside", F.col("root") != F.col("main"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.when(F.col("outside"), F.col("others")).otherwise(F.col("mains"))).cast("int"))
+    # the keys under which a row meets others: (kind, i, j) of an outsider's own and another block, of its and a main block, of a main row's and an outsiders' block
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    meeting = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    own = F.col("own")
+    among = F.transform(F.filter(upto("others"), lambda x: (x != own) | (F.col("others") == 1)), lambda x: meeting(0, F.least(own, x), F.greatest(own, x)))
+    outsider = F.concat(among, F.transform(upto("mains"), lambda x: meeting(1, own, x)))
+    main = F.transform(upto("others"), lambda x: meeting(1, x, own))
+    met = met.withColumn("at", F.explode(F.when(F.col("outside"), outsider).otherwise(main))).withColumn("key", F.xxhash64("key", "at.kind", "at.i", "at.j"))
+    return found.unionByName(bucket_links(met.select(*rows.columns, "root"), threshold))
 
 
 def links(classes: DataFrame, threshold: float) -> DataFrame:
     """a, b: links between classes (node, sig, n, keys) of that estimated similarity."""
     under = classes.select("node", "sig", "n", F.posexplode("keys").alias("t", "k")).select("node", "sig", "n", F.xxhash64("t", "k").alias("key"))
-    return bucket_links(blocked(under, CROWD), threshold).distinct()
+    return all_links(under, threshold, CROWD).distinct()
 
 
 def exact_links(classes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -258,7 +293,7 @@ def exact_links(classes: DataFrame, rows: DataFrame, threshold: float) -> DataFr
     groups = components(links(classes.select("node", "sig", "n", "keys"), threshold - SLACK))
     members = materialize(groups.join(classes.select("node", "sig", "n", "rid"), "node"), "op2-groups")
     sets = members.join(rows.select("rid", "shingles"), "rid").select(F.xxhash64("root").alias("key"), "node", "sig", "n", "shingles")
-    return bucket_links(blocked(sets, GROUP), threshold).distinct()
+    return all_links(materialize(sets, "op2-sets"), threshold, GROUP).distinct()
 
 
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, row: Column | None = None) -> DataFrame:
@@ -273,15 +308,13 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("id"), pa.array([s for s, _, _ in found], pa.binary()), pa.array([k for _, k, _ in found], pa.list_(pa.int64())), pa.array([len(h) for _, _, h in found], pa.int32()), pa.array([h.tobytes() for _, _, h in found], pa.binary())], ["rid", "id", "sig", "keys", "n", "shingles"])
 
     src = docs.select((F.monotonically_increasing_id() if row is None else row).alias("rid"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    sketched = src.mapInArrow(of, T.StructType([*src.schema.fields[:2], T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType()), T.StructField("shingles", T.BinaryType())]))
+    sketched = spread(src).mapInArrow(of, T.StructType([*src.schema.fields[:2], T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType()), T.StructField("shingles", T.BinaryType())]))
     rows = materialize(sketched.withColumns({"node": F.unhex(F.md5("sig")), "run": F.pmod(F.xxhash64("rid"), F.lit(RUNS)).cast("int")}), "op2-sketches")
     first = F.min(F.struct(F.xxhash64("rid").alias("h"), "rid", "sig", "keys", "n")).alias("first")
     runs = rows.groupBy("node", "run").agg(F.min("id").alias("least"), first)
     classes = materialize(runs.groupBy("node").agg(F.min("least").alias("least"), F.min("first").alias("first")).select("node", "least", "first.sig", "first.keys", "first.n", "first.rid"), "op2-classes")
     roots = components(exact_links(classes, rows, threshold))
-    rooted = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rows.select("node", "run").distinct().join(rooted.join(ids, "root").select("node", "component_id"), "node")
+    named = rows.select("node", "run").distinct().join(named_components(classes.select("node", "least"), roots), "node")
     return rows.join(named, ["node", "run"]).select("rid", "id", "component_id")
 
 

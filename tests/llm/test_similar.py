@@ -190,3 +190,52 @@ def test_short_texts_are_linked_by_exact_similarity(documents):
         a, b = exact_shingles(texts[i]), exact_shingles(texts[i + 1])
         wrong += (got[i] == got[i + 1]) != (len(a & b) >= 0.8 * len(a | b))
     assert wrong <= 1
+
+
+def test_runs_cost_their_length():
+    """A family of 40,000 rows, and one with some strangers, take no time that grows with the square."""
+    import time
+
+    rnd = np.random.default_rng(7)
+    base = rnd.integers(0, 2**63, similar.WORDS).astype(np.uint64)
+
+    def timed(n, strangers=0):
+        sig = np.repeat(base[None], n, 0)
+        sig[np.arange(n), rnd.integers(0, similar.WORDS, n)] ^= np.uint64(1) << rnd.integers(0, 64, n).astype(np.uint64)
+        sig[:strangers] = rnd.integers(0, 2**63, (strangers, similar.WORDS)).astype(np.uint64)
+        t = time.process_time()
+        found = similar.forest(np.zeros(n, np.int64), list(range(n)), sig, np.full(n, 100.0), 0.8)
+        assert len(found) == n - 1 - strangers
+        return time.process_time() - t
+
+    small = timed(5_000)
+    assert timed(40_000) < 16 * small + 1
+
+
+@pytest.mark.parametrize("crowd, group", [(16, 8), (4096, 12)])
+def test_large_families_in_blocks_equal_all_pairs(documents, monkeypatch, crowd, group):
+    """Families far over the bounds, chains of edits and strangers: components are those of all pairs by exact similarity."""
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "GROUP", group)
+    rnd = random.Random(8)
+    texts = []
+    for f, members in enumerate((90, 40, 1, 2, 25)):
+        w = [f"f{f}w{i}" for i in range(200)]
+        for m in range(members):
+            if f == 1:  # each of a chain is like the one before
+                w = list(w)
+            v = w if f == 1 else list(w)
+            for k in range(3 if f == 1 else rnd.choice((1, 2, 12))):
+                v[rnd.randrange(200)] = f"x{f}.{m}.{k}"
+            texts.append(" ".join(v))
+    sets = [exact_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(root, i), find(root, j)
+                root[max(a, b)] = min(a, b)
+    got = {r.id: r.component_id for r in similar.similar_documents(documents(list(enumerate(texts)))).collect()}
+    want = {i: find(root, i) for i in range(len(texts))}
+    assert len(set(want.values())) > 5
+    assert got == want
