@@ -6,7 +6,8 @@ other attempt uses; the committed table of archives says which are valid.
 
 Reader: archives are cut into byte ranges. A task looks for the gzip magic from the start of its range on, and takes a candidate for a
 member when its first bytes decode to a WARC header that names this archive's warcinfo record; it then owns every record that starts
-inside the range and reads the last one beyond its end. Payloads are hashed again and held against the header's digest.
+inside the range and reads the last one beyond its end. Behind a member it goes on without a search, from one buffer. Payloads are hashed
+again and held against the header's digest, and the number of records of an archive against the number written.
 
 Defined results: a null html is an empty payload; empty payloads are equal to one another. Null page ids are smaller than any other; of
 repeated ids one row of equal payloads is the response. A null url leaves the target URI out. Other columns are ignored; an empty table
@@ -31,7 +32,9 @@ MIN_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNK = 1 << 18
+CHUNK, STEP = 1 << 18, 1 << 14
+#: Ranges are dealt among so many tasks at most.
+READERS = 20_000
 
 
 def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -91,54 +94,60 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
 
 
 class _Reader:
-    """Bytes of a file from some place on, read in pieces."""
+    """Bytes of a file. What is read forward comes from one buffer, so that each byte is fetched about once."""
 
     def __init__(self, f, size: int):
-        self.f, self.size = f, size
+        self.f, self.size, self.begin, self.data = f, size, 0, b""
 
-    def at(self, place: int, n: int) -> bytes:
-        self.f.seek(place)
-        return self.f.read(max(0, min(n, self.size - place)))
+    def at(self, place: int, n: int = STEP) -> bytes:
+        """n bytes (STEP at most) from a place on; fewer only at the end of the file."""
+        i = place - self.begin
+        if i < 0 or len(self.data) - i < min(n, self.size - place):
+            self.f.seek(place)
+            self.begin, self.data, i = place, self.f.read(max(0, min(CHUNK, self.size - place))), 0
+        return self.data[i : i + n]
 
 
 def member(r: _Reader, at: int, archive: str):
-    """The member that starts at a place: its content and the place behind it; None if there is none of this archive."""
+    """The member that starts at a place: its content and the place behind it; None if there is none of this archive. A header may have any length."""
     import zlib
 
-    d, got, place, checked = zlib.decompressobj(31), b"", at, False
-    parts = []
+    d, place, checked = zlib.decompressobj(31), at, False
+    parts = bytearray()
     while not d.eof:
-        data = r.at(place, CHUNK)
+        data = r.at(place)
         if not data:
             return None
         place += len(data)
+        before = len(parts)
         try:
-            parts.append(d.decompress(data))
+            parts += d.decompress(data)
         except zlib.error:
             return None
         if not checked:
-            got += parts[-1]
-            end = got.find(b"\r\n\r\n")
-            if not got.startswith(b"WARC/1."[: len(got)]) or (end < 0 and len(got) > 1 << 20):
+            if not parts.startswith(b"WARC/1."[: len(parts)]):
                 return None
+            end = parts.find(b"\r\n\r\n", max(0, before - 3))
             if end >= 0:
-                if f"WARC-Warcinfo-ID: <urn:uuid:{archive}>".encode() not in got[:end].split(b"\r\n"):
+                if f"WARC-Warcinfo-ID: <urn:uuid:{archive}>".encode() not in parts[:end].split(b"\r\n"):
                     return None
                 checked = True
-    return (b"".join(parts), place - len(d.unused_data)) if checked else None
+    return (bytes(parts), place - len(d.unused_data)) if checked else None
 
 
 def starts(r: _Reader, begin: int, end: int):
     """Places of the gzip magic in a byte range."""
     place = begin
     while place < end:
-        data = r.at(place, CHUNK + 2)
+        data = r.at(place)
         i = data.find(MAGIC)
-        while i >= 0 and place + i < end and i < CHUNK:
+        while i >= 0 and place + i < end:
             if len(data) <= i + 3 or not data[i + 3] & 0xE0:  # reserved flags are 0
                 yield place + i
             i = data.find(MAGIC, i + 1)
-        place += CHUNK
+        if len(data) < STEP:
+            return
+        place += STEP - len(MAGIC) + 1
 
 
 def records_in(f, size: int, begin: int, end: int, archive: str):
@@ -172,20 +181,31 @@ def parsed(content: bytes) -> tuple | None:
 
 
 def read_archives(archives: DataFrame, folder: str, span: int = RANGE) -> DataFrame:
-    """Every page record of the archives (file, bytes): page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Every page record of the archives (file, bytes, records), written: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Raises if an archive gives another number of records than were written to it.
+    """
 
     def of(batches):
         import pyarrow as pa
 
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         for b in batches:
             for file, size, begin in zip(*(b.column(c).to_pylist() for c in ("file", "bytes", "begin"))):
                 with random_access(f"{folder}/{file}") as f:
-                    rows = [x for c in records_in(f, size, begin, min(size, begin + span), file.removesuffix(".warc.gz")) if (x := parsed(c))]
+                    rows = [(file, *x) for c in records_in(f, size, begin, min(size, begin + span), file.removesuffix(".warc.gz")) if (x := parsed(c))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["file", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
+    tasks = archives.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / span)), F.lit(0))).first()[0]
     ranges = archives.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(span).cast("long"))).alias("begin"))
-    return ranges.repartition("file", "begin").mapInArrow(of, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    dealt = ranges.repartition(max(1, min(tasks, READERS)))  # a number of their own: ranges are a few bytes each, by which they would all be put into one task
+    found = materialize(dealt.mapInArrow(of, "file string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "op7-records")
+    got = found.groupBy("file").agg(F.count("*").alias("got"))
+    wrong = archives.join(got, "file", "left").where(F.col("records") != F.coalesce("got", F.lit(0))).select("file", "records", F.coalesce("got", F.lit(0)).alias("got")).limit(3).collect()
+    if wrong:
+        raise ValueError("archives damaged: " + "; ".join(f"{r.file} has {r.got} of {r.records} records" for r in wrong))
+    return found.drop("file")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
