@@ -4,28 +4,33 @@ Arrivals are appended as small immutable shards. Compaction looks at runs of sim
 by size, and within a tier neighbours are merged into files of about the target size, each by a task that reads only its own runs. Neither
 step changes a shard that is there. A new manifest, the list of the live shards, is written aside and put in place under the next version
 by a rename that fails if that version exists, so that readers see all of a step or nothing, and of two writers one; what the other wrote
-has names of its own and is never read.
+has names of its own and is never read. A job merges up to BATCH files, one a task; the driver holds the names of one such batch. Reading a
+version takes the paths of its shards to the driver, as any read of files does.
 
 Sizes are counted in bytes of text. Defined results: null texts count 0 bytes; a null id goes to the arrival of the id 'null'. Repeated
-rows stay. All columns are stored. An empty table makes a version without shards.
+rows stay. All columns are stored, whatever their names; rows of other columns than the store's are refused. An empty table makes a version
+without shards.
 """
 
 from __future__ import annotations
 
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import new_path, read
+from millrace.llm._common import fresh, new_path, read
 
 ARRIVAL = 8 << 20
 TARGET = 64 << 20
 #: Sizes within a factor of 4 of each other are similar.
 FACTOR = 4
-#: The partition column of stored rows; documents must not have one of this name.
+#: The partition column of stored rows. Columns of documents that are named so, with underscores or not, are stored with one underscore more.
 SHARD = "millrace_shard"
+#: Files that one job merges, and tasks that store arrivals, at most.
+BATCH, WRITERS = 256, 100_000
 MANIFEST = "shard long, name string, tier int, rows long, bytes long, runs int"
 
 
@@ -34,6 +39,11 @@ def tier(size):
     return F.when(size < 1 << 20, 0).otherwise(F.floor((F.length(F.bin(F.floor(size / (1 << 20)).cast("long"))) - 1) / (FACTOR.bit_length() - 1)).cast("int") + 1)
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """docs by the names that their columns have in the store."""
+    return docs.toDF(*(c + "_" if c.lower().rstrip("_") == SHARD else c for c in docs.columns))
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -60,20 +70,28 @@ class Store:
         context.rename(self._path(aside), self._path(place), options)
 
     def rows(self, version: int | None = None) -> DataFrame:
-        """All documents of a version, with the column SHARD, the name of theirs; None without shards."""
+        """All documents of a version, with the column SHARD (lengthened if they have one), the name of theirs; None without shards."""
         paths = [f"{self.root}/data/{SHARD}={r.name}" for r in self.manifest(version).select("name").collect()]
-        return self.spark.read.option("basePath", f"{self.root}/data").parquet(*paths) if paths else None
+        if not paths:
+            return None
+        found = self.spark.read.option("basePath", f"{self.root}/data").parquet(*paths)
+        own = {c: c[:-1] for c in found.columns if c != SHARD and c.lower().rstrip("_") == SHARD}
+        name = fresh(SHARD, [own.get(c, c) for c in found.columns if c != SHARD])
+        return found.select(*(F.col(c).alias(own.get(c, c)) for c in found.columns if c != SHARD), F.col(SHARD).cast("string").alias(name))
 
     def append(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", arrival: int = ARRIVAL) -> int:
         """Store docs as new shards of about arrival bytes. Returns the version."""
         version = self.version()
+        before = self.rows(version)
+        if before is not None and sorted(before.columns[:-1]) != sorted(docs.columns):
+            raise ValueError(f"the store has the columns {before.columns[:-1]}")
         first = self.manifest(version).agg(F.coalesce(F.max("shard"), F.lit(-1)) + 1).first()[0]
         size = F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
         total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
         n = max(1, -(-total // arrival))
         which = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long") % n + first
         token = uuid.uuid4().hex
-        docs.withColumn(SHARD, F.concat(which.cast("string"), F.lit(f"-{token}"))).repartition(SHARD).write.mode("append").option("compression", "zstd").partitionBy(SHARD).parquet(f"{self.root}/data")
+        stored(docs).withColumn(SHARD, F.concat(which.cast("string"), F.lit(f"-{token}"))).repartition(min(n, WRITERS), SHARD).write.mode("append").option("compression", "zstd").partitionBy(SHARD).parquet(f"{self.root}/data")
         sizes = docs.select(which.alias("shard"), size.alias("size")).groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
         new = sizes.select("shard", F.concat(F.col("shard").cast("string"), F.lit(f"-{token}")).alias("name"), tier(F.col("bytes")).alias("tier"), "rows", "bytes", F.lit(1).alias("runs"))
         self.commit(self.manifest(version).unionByName(new), version + 1)
@@ -86,25 +104,25 @@ class Store:
         file = Window.partitionBy("tier", F.floor(F.col("before") / target))
         return small.select("shard", "name", "rows", "bytes", "runs", F.min("shard").over(file).alias("lead"), F.count("*").over(file).alias("members")).where("members > 1")
 
-    def compact(self, target: int = TARGET, threads: int = 4) -> int:
+    def compact(self, target: int = TARGET) -> int:
         """Merge similar runs into files of about target bytes. Returns the version, a new one if anything was merged."""
         version = self.version()
         shards = self.manifest(version)
-        merges = self.plan(shards, target).groupBy("lead").agg(F.sort_array(F.collect_list(F.struct("shard", "name"))).alias("members"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sum("runs").cast("int").alias("runs")).orderBy("lead").collect()
-        if not merges:
+        token, aside = uuid.uuid4().hex, f"{self.root}/aside-{uuid.uuid4().hex}"
+        first = shards.agg(F.coalesce(F.max("shard"), F.lit(-1)) + 1).first()[0]
+        merges = self.plan(shards, target).groupBy("lead").agg(F.sort_array(F.collect_list("name")).alias("names"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sum("runs").cast("int").alias("runs"))
+        numbered = merges.withColumn("shard", F.row_number().over(Window.orderBy("lead")) - 1 + F.lit(first))
+        numbered.withColumn("name", F.concat(F.col("shard").cast("string"), F.lit(f"-{token}"))).write.parquet(aside)
+        merges, schema = self.spark.read.parquet(aside), None
+        for batch in batched(merges.select("name", "names").orderBy("name").toLocalIterator(), BATCH):
+            paths = [[f"{self.root}/data/{SHARD}={n}" for n in m.names] for m in batch]
+            schema = schema or self.spark.read.parquet(paths[0][0]).schema
+            files = [self.spark.read.schema(schema).parquet(*p).coalesce(1).withColumn(SHARD, F.lit(m.name)) for m, p in zip(batch, paths)]
+            reduce(DataFrame.union, files).write.mode("append").option("compression", "zstd").partitionBy(SHARD).parquet(f"{self.root}/data")
+        if schema is None:
             return version
-        first, token = shards.agg(F.max("shard") + 1).first()[0], uuid.uuid4().hex
-
-        def merge(k: int) -> None:
-            paths = [f"{self.root}/data/{SHARD}={s.name}" for s in merges[k].members]
-            self.spark.read.parquet(*paths).coalesce(1).write.option("compression", "zstd").parquet(f"{self.root}/data/{SHARD}={first + k}-{token}")
-
-        with ThreadPoolExecutor(threads) as pool:
-            list(pool.map(merge, range(len(merges))))
-        new = self.spark.createDataFrame([(first + k, f"{first + k}-{token}", m.rows, m.bytes, m.runs) for k, m in enumerate(merges)], "shard long, name string, rows long, bytes long, runs int")
-        gone = self.spark.createDataFrame([(s.shard,) for m in merges for s in m.members], "shard long")
-        kept = shards.join(gone, "shard", "left_anti")
-        self.commit(kept.unionByName(new.select("shard", "name", tier(F.col("bytes")).alias("tier"), "rows", "bytes", "runs")), version + 1)
+        kept = shards.join(merges.select(F.explode("names").alias("name")), "name", "left_anti").select(*shards.columns)
+        self.commit(kept.unionByName(merges.select("shard", "name", tier(F.col("bytes")).alias("tier"), "rows", "bytes", "runs")), version + 1)
         return version + 1
 
 

@@ -148,3 +148,61 @@ def test_merges_stay_within_tiers(spark, tmp_path):
     m = m.withColumn("tier", shards.tier(m["bytes"]))
     plan = {r.shard: r.lead for r in store.plan(m).collect()}
     assert {plan[i] for i in range(4)} == {0} and {plan[i] for i in (4, 5, 6)} == {4} and 7 not in plan
+
+
+class Counting(io.BytesIO):
+    got = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        Counting.got += len(data)
+        return data
+
+
+def test_long_headers_and_bytes_read(pages, tmp_path):
+    """Headers beyond any buffer, urls beyond a range; every byte is fetched about once."""
+    rows = [(0, "http://a/", "first"), (1, "http://" + "".join(random.Random(1).choices("abcdefghij/", k=3_000_000)), "second"), (2, "http://b/", "third")]
+    assert round_trip(pages(rows), f"file://{tmp_path}/w") == brute(rows)
+    assert round_trip(pages(rows), f"file://{tmp_path}/v", span=100_000) == brute(rows)
+    archive = str(uuid.uuid4())
+    data = b"".join(warc.page_record(i, f"http://{i}/", f"payload {i} " * 50, None, False, archive) for i in range(4000))
+    Counting.got = 0
+    assert len(list(warc.records_in(Counting(data), len(data), 0, len(data), archive))) == 4000
+    assert Counting.got < 1.2 * len(data)
+
+
+def test_lost_records_are_an_error(spark, pages, tmp_path):
+    """A member that is damaged, or an archive that is cut off, stops the reader."""
+    folder = tmp_path / "w"
+    archives = warc.write_archives(pages([(i, f"u{i}", f"text {i} " * 30) for i in range(60)]), f"file://{folder}")
+    file = next(folder.glob("*.warc.gz"))
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    file.write_bytes(data)
+    with pytest.raises(Exception, match="damaged|doesn't match"):
+        warc.read_archives(archives, f"file://{folder}")
+
+
+def test_columns_named_as_the_stores(spark, tmp_path):
+    """Documents may have columns of the store's names; all come back."""
+    docs = spark.createDataFrame([(i, f"{i} text", f"s{i}", f"n{i}", i) for i in range(40)], "doc_id long, text string, millrace_shard string, Millrace_Shard_ string, name int")
+    store = shards.Store(spark, f"file://{tmp_path}/s")
+    store.append(docs, arrival=50)
+    assert store.compact(target=200) == 2
+    back = store.rows()
+    assert set(docs.columns) < set(back.columns) and len(back.columns) == 6
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    with pytest.raises(ValueError):
+        store.append(docs.drop("name"))
+
+
+def test_a_job_merges_a_batch(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "BATCH", 3)
+    store = shards.Store(spark, f"file://{tmp_path}/s")
+    store.append(documents(rows_of(300)), arrival=2000)
+    store.compact(target=9000)
+    merged = store.manifest().where("runs > 1").collect()
+    assert len(merged) > 3 and all(r.bytes < 9000 + 2 * 2000 for r in merged)
+    for r in merged:
+        assert len(list((tmp_path / "s" / "data" / f"{shards.SHARD}={r.name}").glob("*.parquet"))) == 1
+    assert sorted((r.doc_id, r.text) for r in store.rows().collect()) == sorted(rows_of(300))
