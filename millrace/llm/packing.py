@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._common import materialize, read, ship
+from millrace.llm._common import materialize, read, ship, spread, with_row_key
 from millrace.llm.byte_bpe import encoder, in_chunks, vocabulary
 
 TOKENS, END_ID = 2048, 0
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", token
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(of, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return spread(rows).mapInArrow(of, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def best_fit(lengths, tokens: int = TOKENS, documents: int | None = None, attention: int | None = None, weights=WEIGHTS, rule: str = "norm"):
@@ -108,6 +108,8 @@ def best_fit(lengths, tokens: int = TOKENS, documents: int | None = None, attent
 def pack(rows: DataFrame, *, tokens: int = TOKENS, documents: int | None = None, attention: int | None = None, weights=WEIGHTS, rule: str = "norm", group: int = GROUP) -> DataFrame:
     """rows (written pieces with a column length) with sequence_id and offset."""
     ship(rows.sparkSession)
+    if group >= 1 << 18:
+        raise ValueError("a group's sequences have 20 bits of their ids")
     groups = max(1, -(-rows.count() // group))
 
     def of(key, table):
@@ -116,11 +118,20 @@ def pack(rows: DataFrame, *, tokens: int = TOKENS, documents: int | None = None,
 
         lengths = table.column("length").to_numpy()
         bins, places = best_fit(lengths, tokens, documents, attention, weights, rule)
-        out = table.drop_columns(["grp"]).append_column("sequence_id", pa.array((np.int64(key[0].as_py()) << 32) + bins))
+        first = (key[0].as_py() << 40) + (key[1].as_py() << 20)
+        out = table.drop_columns(["grp", "part"]).append_column("sequence_id", pa.array(np.int64(first) + bins))
         return out.append_column("offset", pa.array(places))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", sequence_id long, offset long"
-    return rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups))).groupBy("grp").applyInArrow(of, schema)
+    keyed, row = with_row_key(rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups))))
+    # repeated rows fall into one group, which is dealt out by place
+    crowded = materialize(keyed.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > 2 * group).select("grp", F.ceil(F.col("n") / group).alias("parts")), "op8-crowded")
+    if crowded.limit(1).count():
+        part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), F.col("parts")))
+        keyed = keyed.join(crowded, "grp", "left").withColumn("part", part)
+    else:
+        keyed = keyed.withColumn("part", F.lit(0).cast("long"))
+    return keyed.select(*rows.columns, "grp", "part").groupBy("grp", "part").applyInArrow(of, schema)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

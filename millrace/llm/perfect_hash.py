@@ -1,8 +1,8 @@
-"""A minimal perfect hash over 64-bit keys, with a stored fingerprint and a record for each key.
+"""A minimal perfect hash over keys of two 64-bit hashes, with a stored fingerprint and a record for each key.
 
 Level by level, every key left picks a slot of a bit array of GAMMA slots a key; slots picked once are taken, the other keys go on to the
-next level. A key's number is the rank of its slot's bit among all. Keys that share both hashes, or are left after LEVELS levels, are
-kept in a list.
+next level. A key's number is the rank of its slot's bit among all. Keys that are left after LEVELS levels are kept in a list. Equal keys
+are refused. Where a caller has one hash only, the second is made of it.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import struct
 import numpy as np
 
 GAMMA, LEVELS = 2, 40
-MAGIC = b"MPHINDX1"
-RECORD = np.dtype([("check", "<u4"), ("shard", "<u4"), ("n", "<u8"), ("offset", "<u8")])
+MAGIC = b"MPHINDX2"
+RECORD = np.dtype([("check", "<u8"), ("shard", "<u4"), ("n", "<u8"), ("offset", "<u8")])
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -25,21 +25,33 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def check_of(keys: np.ndarray) -> np.ndarray:
+def both(keys: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    keys = keys.astype(np.uint64)
+    return keys, mix(keys, 1000) if second is None else second.astype(np.uint64)
+
+
+def slots(keys: np.ndarray, second: np.ndarray, level: int, size: int) -> np.ndarray:
+    return ((mix(keys, level) ^ mix(second, level + 2 * LEVELS)) % np.uint64(size)).astype(np.int64)
+
+
+def check_of(keys: np.ndarray, second: np.ndarray) -> np.ndarray:
     """The fingerprint that is stored of a key."""
-    return (mix(keys, 1000) >> np.uint64(32)).astype("<u4")
+    return mix(keys, 1001) ^ second
 
 
-def build(keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, n: np.ndarray) -> bytes:
-    """The index of keys (distinct) with their records, as bytes."""
-    keys = keys.astype(np.uint64)
+def build(keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, n: np.ndarray, second: np.ndarray | None = None) -> bytes:
+    """The index of keys with their records, as bytes. Raises if two are equal in both hashes."""
+    keys, second = both(keys, second)
+    order = np.lexsort((second, keys))
+    if ((keys[order[1:]] == keys[order[:-1]]) & (second[order[1:]] == second[order[:-1]])).any():
+        raise ValueError("two keys are equal")
     levels, left, number = [], np.arange(len(keys)), np.zeros(len(keys), np.int64)
     done = 0
     for level in range(LEVELS):
         if not len(left):
             break
         size = GAMMA * len(left)
-        slot = (mix(keys[left], level) % np.uint64(size)).astype(np.int64)
+        slot = slots(keys[left], second[left], level, size)
         once = np.bincount(slot, minlength=size) == 1
         taken = once[slot]
         rank = np.cumsum(once) - 1
@@ -49,8 +61,8 @@ def build(keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, n: np.ndarray
         left = left[~taken]
     number[left] = done + np.arange(len(left))
     records = np.zeros(len(keys), RECORD)
-    records["check"][number], records["shard"][number], records["offset"][number], records["n"][number] = check_of(keys), shard, offset, n
-    parts = [MAGIC, struct.pack("<QII", len(keys), len(levels), len(left)), keys[left].astype("<u8").tobytes()]
+    records["check"][number], records["shard"][number], records["offset"][number], records["n"][number] = check_of(keys, second), shard, offset, n
+    parts = [MAGIC, struct.pack("<QII", len(keys), len(levels), len(left)), np.stack([keys[left], second[left]], axis=1).astype("<u8").tobytes()]
     for once in levels:
         parts += [struct.pack("<Q", len(once)), np.packbits(once, bitorder="little").tobytes()]
     return b"".join([*parts, records.tobytes()])
@@ -62,8 +74,8 @@ class Index:
             raise ValueError("not an index")
         n, n_levels, n_left = struct.unpack_from("<QII", data, 8)
         at = 24
-        self.left = np.frombuffer(data, "<u8", n_left, at)
-        at += 8 * n_left
+        self.left = {tuple(k): i for i, k in enumerate(np.frombuffer(data, "<u8", 2 * n_left, at).reshape(-1, 2).tolist())}
+        at += 16 * n_left
         self.levels, done = [], 0
         for _ in range(n_levels):
             (size,) = struct.unpack_from("<Q", data, at)
@@ -75,24 +87,23 @@ class Index:
         self.done = done
         self.records = np.frombuffer(data, RECORD, n, at)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, keys: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The records of keys, and whether each is in the index as far as its fingerprint tells."""
-        keys = keys.astype(np.uint64)
+        keys, second = both(keys, second)
         number = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
         for level, (bits, rank) in enumerate(self.levels):
             if not len(left):
                 break
-            slot = (mix(keys[left], level) % np.uint64(len(bits))).astype(np.int64)
+            slot = slots(keys[left], second[left], level, len(bits))
             hit = bits[slot]
             number[left[hit]] = rank[slot[hit]]
             left = left[~hit]
-        if len(self.left):
+        if self.left:
             for i in left:
-                same = np.flatnonzero(self.left == keys[i])
-                if len(same):
-                    number[i] = self.done + same[0]
+                if (same := self.left.get((int(keys[i]), int(second[i])))) is not None:
+                    number[i] = self.done + same
         if not len(self.records):
             return np.zeros(len(keys), RECORD), np.zeros(len(keys), bool)
         found = self.records[np.maximum(number, 0)]
-        return found, (number >= 0) & (found["check"] == check_of(keys))
+        return found, (number >= 0) & (found["check"] == check_of(keys, second))

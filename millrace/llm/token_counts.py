@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import kept, read, ship
+from millrace.llm._common import kept, read, ship, spread
 
 LIMIT = 4096
 MEMO = 250_000
@@ -119,7 +119,7 @@ def token_counts(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id), F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"), F.col(text).alias("t"))
-    out = rows.mapInArrow(of, T.StructType([rows.schema[doc_id], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
+    out = spread(rows).mapInArrow(of, T.StructType([rows.schema[doc_id], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

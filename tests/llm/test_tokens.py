@@ -160,3 +160,54 @@ def test_packing_in_groups(spark):
 def test_ids_of_pieces(documents):
     r = packing.pieces(documents([(1, "hello world")]), keep_ids=True).first()
     assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
+
+
+def test_keys_that_share_a_hash():
+    """Keys equal in the first hash are told apart by the second; equal in both they are refused."""
+    keys = np.repeat(np.arange(200, dtype=np.uint64), 2)
+    second = np.arange(400, dtype=np.uint64)
+    ix = perfect_hash.Index(perfect_hash.build(keys, second, second * 3, second + 1, second))
+    found, ok = ix.find(keys, second)
+    assert ok.all() and (found["offset"] == second * 3).all()
+    assert not ix.find(keys, second + 1000)[1].any()
+    with pytest.raises(ValueError):
+        perfect_hash.build(keys, second, second, second, np.zeros(400, np.uint64))
+
+
+def test_a_missing_document_is_an_error(documents, tmp_path, monkeypatch):
+    """What the index doesn't find stops the round trip."""
+    whole = token_files.write_index
+    monkeypatch.setattr(token_files, "write_index", lambda entries, folder: whole(entries.where("id <> 7"), folder))
+    with pytest.raises(Exception, match="is not in the index"):
+        token_files.round_trip(documents([(i, "a b") for i in range(20)]), f"file://{tmp_path}/ids").collect()
+
+
+def test_an_id_of_many_rows_goes_over_shards(spark, documents, tokenizer, tmp_path):
+    """Rows of one id and of none, spread over shards, are numbered through and each found."""
+    rnd = random.Random(3)
+    rows = [(5, " ".join(rnd.choice("abcdefgh") for _ in range(30))) for _ in range(300)] + [(None, f"{rnd.random()} x") for _ in range(200)] + [(i, "t") for i in range(10, 40)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = f"file://{tmp_path}/ids"
+        entries = token_files.write_shards(documents(rows, 4), folder)
+        assert entries.where("id = 5").select("shard").distinct().count() > 1
+        got = sorted((r.id is not None, r.id or 0, r.nth, r.shard, r.offset) for r in entries.collect())
+        assert [g[2] for g in got if g[:2] == (True, 5)] == list(range(300)) and [g[2] for g in got if not g[0]] == list(range(200))
+        assert [g[3:] for g in got] == sorted(g[3:] for g in got)
+        back = token_files.round_trip(documents(rows, 4), f"file://{tmp_path}/again").collect()
+        assert len(back) == len(rows) and sum(r.n_tokens for r in back) == sum(len(tokenizer.encode(t).ids) + 1 for _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_packing_of_repeated_rows(spark):
+    """Rows that repeat a thousand times are dealt into groups of their own."""
+    rows = spark.createDataFrame([(None, 0, 700)] * 3000 + [(i, 0, 100 + i % 50) for i in range(500)], "doc_id long, piece int, length long")
+    got = packing.pack(rows, group=200).collect()
+    assert len(got) == 3500
+    check_gapless([r.sequence_id for r in got], [r.offset for r in got], [r.length for r in got])
+    assert len({r.sequence_id >> 20 for r in got if r.doc_id is None}) > 5
+    size = {}
+    for r in got:
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+    assert max(size.values()) <= 2048
