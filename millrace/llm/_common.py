@@ -86,10 +86,16 @@ def drop_rows(keyed: DataFrame, name: str, rows: DataFrame) -> DataFrame:
 SMALL = 20 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out to all cores if it is so small that one task would read it all: workers in Python then share it. Larger tables have tasks enough."""
+def cores_for(df: DataFrame) -> int | None:
+    """The number of cores if df is so small that one task would read it all, else None: larger tables have tasks enough."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+    return df.sparkSession.sparkContext.defaultParallelism if size <= SMALL else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it is small, so that workers in Python share it."""
+    n = cores_for(df)
+    return df.repartition(n) if n else df
 
 
 _kept: dict[str, object] = {}

@@ -1,9 +1,8 @@
 """Token ids in binary shards with a minimal perfect hash index from document keys to places.
 
-Documents are encoded first, where they lie; then their ids are ordered by (doc_id, text) with one range exchange, in which a text goes along
-only where its id is repeated. Each task appends the raw ids of its range to one shard file: unsigned little-endian integers of 2 bytes, or 4
-where the vocabulary needs it. Files get names that no other attempt uses; which of them are the shards is told by the committed table of
-entries, so that a task which is run again or lost leaves nothing but an unused file.
+Documents are ordered by (doc_id, text) with one range exchange; each task encodes its range and appends raw ids to one shard file:
+unsigned little-endian integers of 2 bytes, or 4 where the vocabulary needs it. Files get names that no other attempt uses; which of them
+are the shards is told by the committed table of entries, so that a task which is run again or lost leaves nothing but an unused file.
 
 A document's key is its id and its number among rows of the same id, as two 64-bit hashes. Keys are divided by hash among index files of
 about KEYS_PER_INDEX keys, each a minimal perfect hash with a stored fingerprint of 64 bits and shard, offset and count; two documents of
@@ -21,48 +20,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._common import materialize, new_path, read, ship, spread
+from millrace.llm._common import cores_for, materialize, new_path, read, ship
 from millrace.llm._files import make_dir, random_access, write_to
 from millrace.llm.byte_bpe import encoder, in_chunks, vocabulary
 
 END_ID = 2
 KEYS_PER_INDEX = 32768
 PREFIX = 64
-#: Repeated ids up to this number go to the documents as a broadcast.
-FEW = 200_000
-
-
-def encoded(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int, width: int) -> DataFrame:
-    """id, t (the text where the id is repeated or null), ids of each row, written."""
-
-    def of(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            texts = b.column("t")
-            for some in in_chunks([len(x.as_buffer()) if x.is_valid else 0 for x in texts]):
-                part = b.slice(some.start, len(some))
-                ids = []
-                for raw in encoder(path).encode(part.column("t").to_pylist()):
-                    a = np.frombuffer(raw + end, "<u4")
-                    if width == 2 and a.max() > 0xFFFF:
-                        raise ValueError("this vocabulary needs 4 bytes an id")
-                    ids.append(a.astype(f"<u{width}").tobytes())
-                kept = [t if again else None for t, again in zip(part.column("t"), part.column("again").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(kept, pa.string()), pa.array(ids, pa.binary())], ["id", "t", "ids"])
-
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    repeated = materialize(rows.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("again")), "op3-repeated")
-    n = repeated.count()
-    if n:
-        rows = rows.join(F.broadcast(repeated) if n <= FEW else repeated, "id", "left")
-    else:
-        rows = rows.withColumn("again", F.lit(False))
-    rows = rows.select("id", "t", (F.col("id").isNull() | F.coalesce("again", F.lit(False))).alias("again"))
-    return materialize(spread(rows).mapInArrow(of, "id long, t string, ids binary"), "op3-encoded")
 
 
 def named(id_: str, nth: str) -> Column:
@@ -86,29 +50,40 @@ def write_shards(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text:
     """Encode docs into shard files in folder. Returns the entries, written: id, nth (of rows of one id, from 0), key, shard (in order of ids), file, offset (in ids), n."""
     make_dir(folder)
 
+    path = vocab or vocabulary()
+
     def of(batches):
+        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         shard, file = TaskContext.get().partitionId(), f"shard-{uuid.uuid4().hex}.ids"
         out, at, last, nth = None, 0, (), 0
+        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            rows = []
-            for i, raw in zip(b.column("id").to_pylist(), b.column("ids")):
-                raw = raw.as_buffer()
-                out = out or write_to(f"{folder}/{file}")
-                out.write(raw)
-                nth = nth + 1 if (i,) == last else 0
-                last = (i,)
-                rows.append((i, nth, shard, file, at, raw.size // width))
-                at += raw.size // width
-            if rows:
+            ids = b.column("id").to_pylist()
+            texts = b.column("t")
+            for some in in_chunks([len(x.as_buffer()) if x.is_valid else 0 for x in texts]):
+                rows = []
+                for i, raw in zip(some, encoder(path).encode(texts.slice(some.start, len(some)).to_pylist())):
+                    a = np.frombuffer(raw + end, "<u4")
+                    if width == 2 and a.max() > 0xFFFF:
+                        raise ValueError("this vocabulary needs 4 bytes an id")
+                    out = out or write_to(f"{folder}/{file}")
+                    out.write(a.astype(f"<u{width}").tobytes())
+                    nth = nth + 1 if (ids[i],) == last else 0
+                    last = (ids[i],)
+                    rows.append((ids[i], nth, shard, file, at, len(a)))
+                    at += len(a)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["id", "nth", "shard", "file", "offset", "n"])
         if out:
             out.close()
 
-    rows = encoded(docs, doc_id, text, vocab or vocabulary(), end_id, width)
-    ordered = rows.repartitionByRange("id", F.substring("t", 1, PREFIX)).sortWithinPartitions("id", "t")
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+    by = ["id", F.substring("t", 1, PREFIX)]
+    n = cores_for(rows)
+    ordered = (rows.repartitionByRange(n, *by) if n else rows.repartitionByRange(*by)).sortWithinPartitions("id", "t")
     written = materialize(ordered.mapInArrow(of, "id long, nth int, shard int, file string, offset long, n long"), "op3-places")
     return materialize(numbered(written).withColumn("key", F.xxhash64(named("id", "nth"))), "op3-entries")
 
