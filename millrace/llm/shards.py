@@ -114,10 +114,12 @@ class Store:
         numbered = merges.withColumn("shard", F.row_number().over(Window.orderBy("lead")) - 1 + F.lit(first))
         numbered.withColumn("name", F.concat(F.col("shard").cast("string"), F.lit(f"-{token}"))).write.parquet(aside)
         merges, schema = self.spark.read.parquet(aside), None
+        work = self.spark.newSession()  # whose unions keep the tasks of their parts
+        work.conf.set("spark.sql.unionOutputPartitioning", "false")
         for batch in batched(merges.select("name", "names").orderBy("name").toLocalIterator(), BATCH):
             paths = [[f"{self.root}/data/{SHARD}={n}" for n in m.names] for m in batch]
             schema = schema or self.spark.read.parquet(paths[0][0]).schema
-            files = [self.spark.read.schema(schema).parquet(*p).coalesce(1).withColumn(SHARD, F.lit(m.name)) for m, p in zip(batch, paths)]
+            files = [work.read.schema(schema).parquet(*p).coalesce(1).withColumn(SHARD, F.lit(m.name)) for m, p in zip(batch, paths)]
             reduce(DataFrame.union, files).write.mode("append").option("compression", "zstd").partitionBy(SHARD).parquet(f"{self.root}/data")
         if schema is None:
             return version

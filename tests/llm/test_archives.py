@@ -200,7 +200,12 @@ def test_a_job_merges_a_batch(spark, documents, tmp_path, monkeypatch):
     monkeypatch.setattr(shards, "BATCH", 3)
     store = shards.Store(spark, f"file://{tmp_path}/s")
     store.append(documents(rows_of(300)), arrival=2000)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("compact", "compaction")
     store.compact(target=9000)
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("compact") if (i := tracker.getJobInfo(j)) for s in i.stageIds if tracker.getStageInfo(s)]
+    spark.sparkContext.setJobGroup("", "")
+    assert tasks.count(3) >= 2  # a task a file
     merged = store.manifest().where("runs > 1").collect()
     assert len(merged) > 3 and all(r.bytes < 9000 + 2 * 2000 for r in merged)
     for r in merged:
