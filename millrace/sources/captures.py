@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,25 +100,53 @@ def csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     return out.where("opcode IS NOT NULL")
 
 
-#: A tuple of an INSERT: id, direction, opcode, time, hex.
-TUPLE = r"\(\s*\d+\s*,\s*'?(CMSG|SMSG|MSG)'?\s*,\s*(?:0x)?([0-9A-Fa-f]+)\s*,\s*'?([^']*)'?\s*,\s*'?(?:0x)?([0-9A-Fa-f]*)'?\s*\)"
+#: What stands between the brackets of an INSERT: values, of which quoted ones may hold anything but a quote.
+BRACKETS = r"\\(((?:[^()']|'[^']*')*)\\)"
+COLUMNS = "id string, direction string, opcode string, time string, data string"
 
 
 def sql_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Tuples of INSERT statements, a line at a time; comments are skipped. Opcodes and payloads are hexadecimal."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("v")).where(~F.col("v").rlike("^(--|#)") & (F.col("v") != ""))
-    whole = F.regexp_extract_all("v", F.lit(f"(?i)({TUPLE})"), 1)
-    rows = lines.select("file", "line", F.posexplode(whole).alias("i", "t"))
-    g = lambda k: F.regexp_extract("t", f"(?i){TUPLE}", k)
-    return rows.select("file", (F.col("line") * 100_000 + F.col("i")).alias("seq"), F.upper(g(1)).alias("direction"), F.conv(g(2), 16, 10).try_cast("bigint").alias("opcode"), F.lit(0).cast("bigint").alias("timestamp"), F.when(F.length(g(4)) % 2 == 0, F.unhex(g(4))).alias("data"), F.lit(None).cast("string").alias("opcode_name"))
+    """Rows (id, direction, opcode, time, hex) of INSERT statements, a line at a time; comments are skipped. Opcodes and payloads are hexadecimal."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("v")).where(~F.col("v").rlike("^(--|#)"))
+    values = lines.select("file", F.explode(F.expr(f"regexp_extract_all(v, '{BRACKETS.replace(chr(39), chr(92) + chr(39))}', 1)")).alias("row"))
+    rows = values.select("file", F.monotonically_increasing_id().alias("seq"), F.from_csv("row", COLUMNS, {"quote": "'", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r"))
+    digits = lambda c: F.regexp_replace(F.coalesce(F.col(f"r.{c}"), F.lit("")), "^0[xX]", "")
+    packets = rows.select("file", "seq", F.upper("r.direction").alias("direction"), F.col("r.id").alias("id"), digits("opcode").alias("op"), digits("data").alias("hex"))
+    good = packets.where(F.col("direction").isin("CMSG", "SMSG", "MSG") & F.col("id").rlike("^[0-9]+$") & F.col("op").rlike("^[0-9A-Fa-f]+$") & F.col("hex").rlike("^[0-9A-Fa-f]*$"))
+    return good.select("file", "seq", "direction", F.conv("op", 16, 10).try_cast("bigint").alias("opcode"), F.lit(0).cast("bigint").alias("timestamp"), F.when(F.length("hex") % 2 == 0, F.unhex("hex")).alias("data"), F.lit(None).cast("string").alias("opcode_name"))
+
+
+HEX = set("0123456789abcdefABCDEF")
+
+
+def header(line: str) -> tuple[str, int, str] | None:
+    """direction, opcode and name of a packet's first line, 'Side: NAME (0xCODE) Length: N ..'; None if it is another."""
+    side, _, rest = line.partition(":")
+    name, opening, rest = rest.partition("(")
+    code, closing, rest = rest.partition(")")
+    who = side.split()[-1].lower() if side.split() else ""
+    direction = "CMSG" if who.startswith("client") else "SMSG" if who.startswith("server") else None
+    code = code.strip().lower()
+    if not (direction and opening and closing and code.startswith("0x") and code[2:] and set(code[2:]) <= HEX and rest.strip().lower().startswith("length:")):
+        return None
+    return direction, int(code, 16), name.strip()
 
 
-TEXT_HEAD = re.compile(r"(Client|Server)\w*:\s*(\w+)\s*\(0x([0-9A-Fa-f]+)\)\s*Length:\s*(\d+)(?:.*?Time:\s*(.+?))?\s*$", re.IGNORECASE)
-TEXT_HEX = re.compile(r"^\|?\s*(?:[0-9A-Fa-f]{2,8}\s*\|\s*)?((?:[0-9A-Fa-f]{2}\s+){1,16}|(?:[0-9A-Fa-f]{2}\s*){16})\s*\|?")
+def dumped(line: str) -> bytes:
+    """The bytes of a line of a hex dump: an offset between bars may stand before them, characters behind."""
+    cells = [c.split() for c in line.strip().strip("|").split("|")]
+    if len(cells) > 1 and len(cells[0]) == 1 and set(cells[0][0]) <= HEX:
+        cells = cells[1:]
+    out = bytearray()
+    for word in cells[0]:
+        if len(word) % 2 or not set(word) <= HEX or len(out) + len(word) // 2 > 16:
+            break
+        out += bytes.fromhex(word)
+    return bytes(out)
 
 
 def text(spark: SparkSession, path: str) -> DataFrame:
-    """Text exports: a header line a packet, then hex dump lines. A file is read in line order by one task, a line at a time."""
+    """Text exports: a header line a packet, then hex dump lines. A file is one row of one task and must fit in its memory."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def of(batches):
@@ -131,12 +158,12 @@ def text(spark: SparkSession, path: str) -> DataFrame:
             for path, value in zip(b.column("path").to_pylist(), b.column("value").to_pylist()):
                 packets = []
                 for line in value.splitlines():
-                    if m := TEXT_HEAD.search(line):
-                        packets.append([path, len(packets), "CMSG" if m[1].lower() == "client" else "SMSG", int(m[3], 16), 0, b"", m[2]])
-                    elif packets and (m := TEXT_HEX.match(line)):
-                        packets[-1][5] += bytes.fromhex(m[1].replace(" ", ""))
+                    if head := header(line):
+                        packets.append([path, len(packets), *head[:2], 0, bytearray(), head[2]])
+                    elif packets:
+                        packets[-1][5] += dumped(line)
                 if packets:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packets), types)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(map(bytes, c) if t == pa.binary() else c, t) for c, t in zip(zip(*packets), types)], names)
 
     return files.mapInArrow(of, SCHEMA)
 
