@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,17 +100,17 @@ def roots_of(edges: DataFrame) -> DataFrame:
     return degrees(edges).where("in_degree = 0").select("node")
 
 
-def closure(edges: DataFrame, limit: int = 200) -> DataFrame:
-    """src, dst: everything that each node reaches, itself excluded. Semi-naive: only new pairs are extended."""
-    e = written(edges.select("src", "dst").where("src <> dst").distinct())
-    known = new = e
-    for _ in range(limit):
-        step = new.select("src", F.col("dst").alias("via")).join(e.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").where("src <> dst").distinct()
+def closure(edges: DataFrame) -> DataFrame:
+    """src, dst: everything that each node reaches, itself excluded. What is new joins all that is known on either side, so that rounds are as many as the logarithm of the longest way."""
+    known = new = written(edges.select("src", "dst").where("src <> dst").distinct())
+    while True:
+        after = new.select("src", F.col("dst").alias("via")).join(known.select(F.col("src").alias("via"), "dst"), "via")
+        before = known.select("src", F.col("dst").alias("via")).join(new.select(F.col("src").alias("via"), "dst"), "via")
+        step = after.unionByName(before).select("src", "dst").where("src <> dst").distinct()
         new = written(step.join(known, ["src", "dst"], "left_anti"))
         if not new.limit(1).count():
-            break
+            return known
         known = written(known.unionByName(new))
-    return known
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -127,7 +129,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return out if nodes is None else nodes.select("node").distinct().join(out, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def scc(edges: DataFrame, limit: int = 1000) -> DataFrame:
+def scc(edges: DataFrame) -> DataFrame:
     """node, component: strongly connected components of more than one node, named by their smallest node.
 
     Forward colours: the smallest node that reaches each node. In a colour, what reaches the colour's node backwards is its component.
@@ -135,9 +137,7 @@ def scc(edges: DataFrame, limit: int = 1000) -> DataFrame:
     """
     e = written(trimmed(edges.select("src", "dst").where("src <> dst").distinct()))
     done: DataFrame | None = None
-    for _ in range(limit):
-        if not e.limit(1).count():
-            break
+    while e.limit(1).count():
         colour = written(nodes_of(e).withColumn("colour", F.col("node")))
         while True:  # smallest ancestor
             got = e.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("m"))
@@ -210,14 +210,14 @@ def critical_path(edges: DataFrame, layered: DataFrame | None = None) -> DataFra
     return placed.where("NOT cyclic").select("node", F.col("layer").alias("length"))
 
 
-def paths(edges: DataFrame, starts: DataFrame, depth: int = 20, sinks: DataFrame | None = None) -> DataFrame:
-    """path, kind: simple paths from starts to sinks (by default nodes without edges out); 'cycle' where the next node is on the path already, 'cut' at the depth bound."""
+def paths(edges: DataFrame, starts: DataFrame, depth: int | None = 20, sinks: DataFrame | None = None) -> DataFrame:
+    """path, kind: simple paths from starts to sinks (by default nodes without edges out); 'cycle' where the next node is on the path already, 'cut' at the depth bound (None: there is none)."""
     e = written(edges.select("src", "dst").where("src <> dst").distinct())
     end = sinks if sinks is not None else nodes_of(e).join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
     end = written(end.select("node").distinct())
     open_ = written(starts.select(F.array("node").alias("path")))
     out: DataFrame | None = None
-    for d in range(depth + 1):
+    for d in count():
         last = open_.withColumn("node", F.element_at("path", -1))
         ended = last.join(end, "node", "left_semi").select("path", F.lit("sink").alias("kind"))
         going = last.join(end, "node", "left_anti")
@@ -250,7 +250,7 @@ def short_cycles(edges: DataFrame, most: int = 3) -> DataFrame:
     return out
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, limit: int = 200) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """node, score: shortest-path betweenness over the given sources (all nodes, or a seeded sample), divided by their number.
 
     Level by level for all sources at once: path counts forward, dependencies backward.
@@ -260,7 +260,7 @@ def betweenness(edges: DataFrame, sources: DataFrame, limit: int = 200) -> DataF
     n = s.count()
     level = written(s.select("s", F.col("s").alias("node"), F.lit(1.0).alias("sigma"), F.lit(0).alias("d")))
     seen, levels = level, [level]
-    for d in range(1, limit + 1):
+    for d in count(1):
         step = level.join(e, level.node == e.src).groupBy("s", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
         level = written(step.join(seen.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", "sigma", F.lit(d).alias("d")))
         if not level.limit(1).count():
@@ -279,12 +279,12 @@ def betweenness(edges: DataFrame, sources: DataFrame, limit: int = 200) -> DataF
     return nodes_of(edges).join(score, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def hierarchy(parents: DataFrame, child: str, parent: str, limit: int = 50) -> DataFrame:
-    """node, chain: from each node up through its parent until there is none or one repeats."""
+def hierarchy(parents: DataFrame, child: str, parent: str, limit: int | None = None) -> DataFrame:
+    """node, chain: from each node up through its parent until there is none or one repeats, or up to limit steps where the caller asks for that."""
     p = written(parents.groupBy(F.col(child).alias("c")).agg(F.min(parent).alias("p")))
     open_ = written(p.select(F.col("c").alias("node"), F.array("c").alias("chain")))
     done: DataFrame | None = None
-    for _ in range(limit):
+    for _ in count() if limit is None else range(limit):
         step = written(open_.withColumn("c", F.element_at("chain", -1)).join(p, "c", "left").select("node", "chain", "p", F.coalesce(F.array_contains("chain", F.col("p")), F.lit(True)).alias("ends")))
         ended = step.where("ends").select("node", "chain")
         done = ended if done is None else done.unionByName(ended)
@@ -307,10 +307,10 @@ def patterns(edges: DataFrame, gate: int = 3) -> DataFrame:
     return shake.unionByName(gates)
 
 
-def linear_chains(edges: DataFrame, least: int = 3, limit: int = 200) -> DataFrame:
+def linear_chains(edges: DataFrame, least: int = 3) -> DataFrame:
     """chain: from roots on along nodes with one edge out whose target has one edge in, at least `least` nodes."""
     e = written(edges.select("src", "dst").where("src <> dst").distinct())
     d = degrees(e)
     only = written(e.join(d.where("out_degree = 1").select(F.col("node").alias("src")), "src", "left_semi").join(d.where("in_degree = 1").select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
     begins = only.join(d.where("in_degree = 0").select(F.col("node").alias("src")), "src", "left_semi").select(F.col("src").alias("node"))
-    return paths(only, begins, limit).where(F.size("path") >= least).select(F.col("path").alias("chain"))
+    return paths(only, begins, None).where(F.size("path") >= least).select(F.col("path").alias("chain"))

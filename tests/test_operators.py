@@ -165,3 +165,11 @@ def test_profiles(spark):
     assert list(r.samples) == [1, 2, 4, 8]
     e = spark.createDataFrame([("seq", x) for x in range(5)] + [("flags", 1 << x) for x in range(9)] + [("neg", -5), ("neg", 900)], "k string, v long")
     assert {r.k: (r.kind, r.width) for r in profile.enums(e, "k", "v").collect()} == {"seq": ("flags", "uint8"), "flags": ("flags", "uint16"), "neg": ("sparse", "int16")}
+
+
+def test_long_ways_are_followed_to_their_end(spark):
+    """A chain of 300 steps, a hierarchy of 60 levels: nothing stops before the end."""
+    line = frame(spark, [(i, i + 1) for i in range(300)])
+    assert graph.closure(line).where("src = 0").count() == 300
+    up = spark.createDataFrame([(i, i + 1) for i in range(60)], "c long, p long")
+    assert max(len(r.chain) for r in graph.hierarchy(up, "c", "p").collect()) == 61
