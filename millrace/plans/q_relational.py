@@ -272,12 +272,12 @@ def inversion_pairs(t: Tables) -> DataFrame:
 
 
 @query("JON-24", sql="""
-WITH e AS (SELECT DISTINCT p_brand AS k, p_name AS x FROM part WHERE p_size <= 6), n AS (SELECT k, count(*) AS n FROM e GROUP BY k),
+WITH e AS (SELECT DISTINCT p_brand AS k, p_name AS x FROM part), n AS (SELECT k, count(*) AS n FROM e GROUP BY k),
 s AS (SELECT a.k AS inner, b.k AS outer, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.k <> b.k GROUP BY 1, 2)
 SELECT "inner", "outer", shared FROM s JOIN n i ON i.k = s."inner" JOIN n o ON o.k = s."outer" WHERE shared = i.n AND i.n < o.n AND shared >= greatest(3, 0.6 * i.n)""".replace("AS inner", 'AS "inner"').replace("AS outer", 'AS "outer"'))
 def containment_pairs(t: Tables) -> DataFrame:
-    """Brands whose small parts all have a name that another brand has too."""
-    return joins.contained_sets(t.part.where("p_size <= 6"), "p_brand", "p_name")
+    """Brands whose parts all have a name that another brand has too."""
+    return joins.contained_sets(t.part, "p_brand", "p_name")
 
 
 ALL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
