@@ -147,35 +147,3 @@ def test_without_labels(spark, documents):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.toxicity for r in tox.scored(documents([(1, "a"), (2, None)]).select("doc_id", "text"), lab).collect()] == [0.0, 0.0]
     assert tox.scored(documents([]).select("doc_id", "text"), lab).count() == 0
-
-
-@pytest.mark.parametrize("shown", ["grubfac3", "blorkh3@d", "snivelw1tt", "ggrubface", "g\tr\tu\tb\tf\ta\tc\te", "g  r \n u  b f a c e", "BL0RKH34D!", "(grubfac3)"])
-def test_words_of_disguises(cost, shown):
-    """Look-alikes at the end, doubled letters, any white space between single characters: the words that count hold what is meant."""
-    words = tox.Restorer(cost).words(f"green river {shown} stone")
-    assert words & set(BAD) and {"green", "river", "stone"} <= words
-
-
-def test_three_letters_set_apart():
-    table = lm(["hat the bad man", "bad hat"] * 50)
-    assert "bad" in tox.Restorer(table).words("the b a d hat") and "bad" in tox.Restorer(table).words("the b\na\td hat")
-
-
-def test_words_as_they_stand_stay(cost):
-    words = tox.Restorer(cost).words("a letter, yellow5 and summer!")
-    assert {"letter", "yellow", "summer"} <= words
-
-
-def test_long_lattices_take_linear_time(cost):
-    import time
-
-    table = cost.tolist()
-
-    def timed(n):
-        t = time.process_time()
-        assert tox.decode("1a" * n, table)
-        return time.process_time() - t
-
-    small = timed(10_000)
-    assert timed(80_000) < 20 * small + 0.5
-    assert tox.Scorer({}, 0.0, tox.Restorer(cost)).score("a 1 " * 100_000) == 0.5
