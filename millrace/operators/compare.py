@@ -113,6 +113,21 @@ def changes(baseline: DataFrame, current: DataFrame, key: str, digest: Column, n
     return a.join(b, key, "full").select(key, change.when(~F.col("a.h").eqNullSafe(F.col("b.h")), "modified").otherwise("unchanged").alias("change"))
 
 
+def held_pairs(steps: DataFrame, by: str, order: str, lock: str, takes: str) -> DataFrame:
+    """by, order, outer, inner: what is held whenever something else is taken. takes: whether a step takes its lock or gives it back.
+
+    A lock is held while the takes of it outnumber what gave it back, of which those without a take before don't count. So the order of
+    what is held needs no fold over a group: each lock's depth lasts to its next step, and takes meet the depths that last over them.
+    """
+    w = Window.partitionBy(by, lock).orderBy(order)
+    run = steps.select(by, order, F.col(lock).alias("outer"), F.sum(F.when(F.col(takes), 1).otherwise(-1)).over(Window.partitionBy(by, lock).orderBy(order)).alias("run"), F.lead(order).over(w).alias("__next"))
+    w = Window.partitionBy(by, "outer").orderBy(order)
+    held = run.withColumn("depth", F.col("run") - F.least(F.lit(0), F.min("run").over(w))).where("depth > 0").select(F.col(by).alias("__by"), F.col(order).alias("__from"), "__next", "outer")
+    taken = steps.where(takes).select(by, order, F.col(lock).alias("inner"))
+    lasts = (F.col(by) == F.col("__by")) & (F.col("__from") < F.col(order)) & (F.col("__next").isNull() | (F.col(order) < F.col("__next"))) & (F.col("inner") != F.col("outer"))
+    return taken.join(held, lasts).select(by, order, "outer", "inner")
+
+
 def transitions(df: DataFrame, keys: list[str], state: str, *order: str) -> DataFrame:
     """state, next_state, n: successive states of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.plans.state import written
@@ -210,6 +210,24 @@ def critical_path(edges: DataFrame, layered: DataFrame | None = None) -> DataFra
     return placed.where("NOT cyclic").select("node", F.col("layer").alias("length"))
 
 
+def critical_route(edges: DataFrame, layered: DataFrame | None = None) -> DataFrame:
+    """position, node: the longest chain of dependencies itself, from its head on; ties go to the smaller node at every place.
+
+    Each node points to a dependency one layer below; the pointers are followed from the head, a scalar a step.
+    """
+    length = written(critical_path(edges, layered))
+    head = length.agg(F.min_by("node", F.struct(-F.col("length"), F.col("node"))).alias("node"), F.max("length").alias("length")).first()
+    if head.node is None:
+        return length.limit(0).select(F.col("length").alias("position"), "node")
+    up, down = length.withColumnsRenamed({"node": "src", "length": "upper"}), length.withColumnsRenamed({"node": "dst", "length": "lower"})
+    near = edges.select("src", "dst").join(up, "src").join(down, "dst").where("upper = lower + 1")
+    first = written(near.groupBy("src").agg(F.min("dst").alias("dst"), F.max("upper").alias("upper")))
+    route = [(0, head.node)]
+    for place in range(1, head.length + 1):
+        route.append((place, first.where((F.col("src") == route[-1][1]) & (F.col("upper") == head.length - place + 1)).first().dst))
+    return edges.sparkSession.createDataFrame(route, f"position int, node {dict(length.dtypes)['node']}")
+
+
 def paths(edges: DataFrame, starts: DataFrame, depth: int | None = 20, sinks: DataFrame | None = None) -> DataFrame:
     """path, kind: simple paths from starts to sinks (by default nodes without edges out); 'cycle' where the next node is on the path already, 'cut' at the depth bound (None: there is none)."""
     e = written(edges.select("src", "dst").where("src <> dst").distinct())
@@ -236,18 +254,25 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int | None = 20, sinks: Da
     return out
 
 
-def short_cycles(edges: DataFrame, most: int = 3) -> DataFrame:
-    """cycle: simple cycles of 2 to most nodes, once each, beginning at their smallest node."""
-    e = edges.select("src", "dst").where("src <> dst").distinct()
+def short_cycles(edges: DataFrame, most: int | None = 3) -> DataFrame:
+    """cycle: simple cycles of 2 to most nodes (None: of any length), once each, beginning at their smallest node.
+
+    Only edges that can lie on a cycle are followed. In a dense graph the cycles themselves grow with the power of their length.
+    """
+    e = written(trimmed(edges.select("src", "dst").where("src <> dst").distinct()))
     p = e.where("src < dst").select(F.array("src", "dst").alias("cycle"))
     out: DataFrame | None = None
-    for n in range(2, most + 1):
+    for n in count(2):
         last = p.select("cycle", F.element_at("cycle", -1).alias("src"), F.element_at("cycle", 1).alias("first"))
         closed = last.join(e, "src").where("dst = first").select("cycle")
         out = closed if out is None else out.unionByName(closed)
-        if n < most:
-            p = last.join(e, "src").where((F.col("dst") > F.col("first")) & ~F.array_contains("cycle", F.col("dst"))).select(F.array_append("cycle", F.col("dst")).alias("cycle"))
-    return out
+        if n == most:
+            return out
+        p = last.join(e, "src").where((F.col("dst") > F.col("first")) & ~F.array_contains("cycle", F.col("dst"))).select(F.array_append("cycle", F.col("dst")).alias("cycle"))
+        if n > 2:
+            p = written(p)
+            if not p.limit(1).count():
+                return out
 
 
 def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -307,6 +332,22 @@ def patterns(edges: DataFrame, gate: int = 3) -> DataFrame:
     return shake.unionByName(gates)
 
 
+def teardowns(writes: DataFrame) -> DataFrame:
+    """state_key, node, role: who ends (writes 0) and who begins (writes more) a state that has both. writes: state_key, node, value."""
+    role = F.when(F.col("value") == 0, "ends").when(F.col("value") > 0, "begins")
+    w = writes.select("state_key", "node", role.alias("role")).where("role IS NOT NULL").distinct()
+    both = w.groupBy("state_key").agg(F.count_distinct("role").alias("n")).where("n = 2").select("state_key")
+    return w.join(both, "state_key")
+
+
+def ping_pong(steps: DataFrame, chain: str, order: str, direction: str, least: int = 4) -> DataFrame:
+    """chain, first, last (of order), steps: the longest runs of a chain in which each direction differs from the one before, of at least `least` steps."""
+    w = Window.partitionBy(chain).orderBy(order)
+    begins = F.coalesce((F.lag(direction).over(w) == F.col(direction)).cast("int"), F.lit(1))
+    runs = steps.select(chain, order, direction).withColumn("__b", begins).withColumn("__run", F.sum("__b").over(w))
+    return runs.groupBy(chain, "__run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("steps")).where(F.col("steps") >= least).drop("__run")
+
+
 def linear_chains(edges: DataFrame, least: int = 3) -> DataFrame:
     """chain: from roots on along nodes with one edge out whose target has one edge in, at least `least` nodes."""
     e = written(edges.select("src", "dst").where("src <> dst").distinct())

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,7 +24,8 @@ def conformance(calls: Column, branches: Column, validations: Column, size: Colu
 
 def escalate(df: DataFrame, by: list[str], severity: str) -> DataFrame:
     """df with group_size and escalated: from ten in a group on MEDIUM, HIGH go one step up, from five on LOW does."""
-    out = df.withColumn("group_size", F.count("*").over(Window.partitionBy(*by)))
+    size = df.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.count("*").alias("group_size"))
+    out = df.join(size, reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))).drop(*(f"__{c}" for c in by))
     s, n = F.col(severity), F.col("group_size")
     return out.withColumn("escalated", F.when((n >= 10) & (s == "HIGH"), "CRITICAL").when((n >= 10) & (s == "MEDIUM"), "HIGH").when((n >= 5) & (s == "LOW"), "MEDIUM").otherwise(s))
 

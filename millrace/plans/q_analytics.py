@@ -248,12 +248,46 @@ def stateful_fold(t: Tables) -> DataFrame:
     return held.groupBy("user_id").agg(F.max("held").alias("deepest"), F.max_by("held", "event_id").alias("left_open"))
 
 
+@query("WIN-14", sql=f"""
+WITH e AS (SELECT user_id, event_id, {SQL_KEY} % 8 AS lock, event_type IN ('view', 'click', 'signup') AS takes FROM events WHERE {SQL_KEY} IS NOT NULL), s AS (SELECT *, sum(CASE WHEN takes THEN 1 ELSE -1 END) OVER (PARTITION BY user_id, lock ORDER BY event_id) AS run FROM e),
+h AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY user_id, lock ORDER BY event_id)) AS depth FROM s), o AS (SELECT DISTINCT user_id, lock FROM e),
+c AS (SELECT a.user_id, a.event_id, a.lock AS inner_lock, o.lock AS outer_lock FROM e a JOIN o ON o.user_id = a.user_id AND o.lock <> a.lock WHERE a.takes),
+p AS (SELECT c.outer_lock, c.inner_lock, count(*) AS n FROM c ASOF JOIN h ON h.user_id = c.user_id AND h.lock = c.outer_lock AND c.event_id > h.event_id WHERE h.depth > 0 GROUP BY 1, 2)
+SELECT outer_lock, inner_lock, n, EXISTS (SELECT 1 FROM p q WHERE q.outer_lock = p.inner_lock AND q.inner_lock = p.outer_lock) AS risk FROM p""")
+def lock_order(t: Tables) -> DataFrame:
+    """What is held while something else is taken, and where the other order occurs too."""
+    e = t.events.select("user_id", "event_id", (event_key() % 8).alias("lock"), F.col("event_type").isin("view", "click", "signup").alias("takes")).where("lock IS NOT NULL")
+    p = compare.held_pairs(e, "user_id", "event_id", "lock", "takes").groupBy(F.col("outer").alias("outer_lock"), F.col("inner").alias("inner_lock")).agg(F.count("*").alias("n"))
+    back = p.select(F.col("inner_lock").alias("outer_lock"), F.col("outer_lock").alias("inner_lock"), F.lit(True).alias("back"))
+    return p.join(back, ["outer_lock", "inner_lock"], "left").select("outer_lock", "inner_lock", "n", F.coalesce("back", F.lit(False)).alias("risk"))
+
+
 @query("STR-09", sql="SELECT event_type AS state, next_state, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_state FROM events) WHERE next_state IS NOT NULL GROUP BY 1, 2")
 def state_transitions(t: Tables) -> DataFrame:
     return compare.transitions(t.events.select("user_id", "event_type", "ts", "event_id"), ["user_id"], "event_type", "ts", "event_id")
 
 
-@query("FLT-13", "FLT-14", sql=f"""
+_limits = """SELECT p_partkey, p_size - 10 AS alo, p_size + 10 AS ahi, CASE WHEN p_partkey % 3 <> 0 THEN [1, 2, 3 + p_partkey % 3] END AS am, CASE WHEN p_partkey % 5 <> 0 THEN 3 END AS ak, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey & 3 END AS ae,
+CASE WHEN p_size > 5 THEN p_size - 5 END AS blo, p_size * 2 AS bhi, CASE WHEN p_partkey % 4 <> 0 THEN [2, 3 + p_partkey % 4] END AS bm, 6 AS bk, (p_partkey // 3) & 6 AS be FROM part"""
+
+
+@query("FLT-14", sql=f"""WITH l AS ({_limits}), x AS (SELECT *, coalesce((ae & ak & bk) <> (be & ak & bk), false) AS clash, ak & bk & ~xor(ae, be) AS common FROM l)
+SELECT p_partkey, CASE WHEN clash THEN 1 ELSE greatest(alo, blo) END::BIGINT AS both_lo, CASE WHEN clash THEN 0 ELSE least(ahi, bhi) END::BIGINT AS both_hi, list_sort(CASE WHEN am IS NULL THEN bm WHEN bm IS NULL THEN am ELSE list_intersect(am, bm) END) AS both_members,
+coalesce(ak | bk, bk)::BIGINT AS both_mask, coalesce(ae | be, be)::BIGINT AS both_expected, CASE WHEN blo IS NOT NULL THEN least(alo, blo) END::BIGINT AS any_lo, greatest(ahi, bhi)::BIGINT AS any_hi,
+CASE WHEN am IS NOT NULL AND bm IS NOT NULL THEN list_sort(list_distinct(list_concat(am, bm))) END AS any_members, common::BIGINT AS any_mask, (ae & common)::BIGINT AS any_expected FROM x""")
+def constraint_algebra(t: Tables) -> DataFrame:
+    """Two limits for each part, as one that holds both and as one that either satisfies."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
+    number = lambda c: c.cast("bigint")
+    a = F.struct(number(size - 10).alias("lo"), number(size + 10).alias("hi"), F.when(k % 3 != 0, F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"), 3 + k % 3)).alias("members"), F.when(k % 5 != 0, F.lit(3).cast("bigint")).alias("mask"), F.when(k % 5 != 0, k.bitwiseAND(3)).alias("expected"))
+    b = F.struct(F.when(size > 5, size - 5).alias("lo"), (size * 2).alias("hi"), F.when(k % 4 != 0, F.array(F.lit(2).cast("bigint"), 3 + k % 4)).alias("members"), F.lit(6).cast("bigint").alias("mask"), F.floor(k / 3).bitwiseAND(6).alias("expected"))
+    p = t.part.select("p_partkey", a.alias("a"), b.alias("b"))
+    both, either = scoring.intersect(F.col("a"), F.col("b")), scoring.union(F.col("a"), F.col("b"))
+    named = lambda c, name: [(F.sort_array(c[f]) if f == "members" else c[f]).alias(f"{name}_{f}") for f in ("lo", "hi", "members", "mask", "expected")]
+    return p.select("p_partkey", *named(both, "both"), *named(either, "any"))
+
+
+@query("FLT-13", sql=f"""
 WITH e AS (SELECT event_type, value, {SQL_KEY} AS k FROM events)
 SELECT event_type, count(*) AS n, count(*) FILTER (coalesce(CASE event_type WHEN 'view' THEN value < 1 OR value > 100 WHEN 'click' THEN k NOT IN (1, 2, 3, 5, 8, 13) WHEN 'error' THEN (k & 3) <> 1 ELSE false END, false)) AS violations FROM e GROUP BY 1""")
 def constraint_violations(t: Tables) -> DataFrame:
@@ -264,7 +298,7 @@ def constraint_violations(t: Tables) -> DataFrame:
     return scoring.violations(v, F.broadcast(c), ["event_type"]).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("violation").alias("violations"))
 
 
-@query("FN-08", "FN-09")
+@query("FN-08", "FN-09", sql="SELECT event_id, true AS success, 6 AS fields_decoded, event_id AS id, CASE WHEN user_id % 2 = 0 THEN user_id & 65535 END AS user, (user_id % 4)::INT AS tail, '' AS error_message FROM events")
 def bit_decode(t: Tables) -> DataFrame:
     """Events packed into bytes and decoded again by a schema, with optional and counted fields."""
     from millrace.functions.decode import FIELD, decode

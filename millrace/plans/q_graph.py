@@ -16,6 +16,10 @@ DAG = EDGES + ", d AS (SELECT src, dst, weight FROM e WHERE src < dst)"
 NODES = "n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
 
 
+#: Both once, for loops written out.
+MEASURED = EDGES.replace("e AS (", "e AS MATERIALIZED (") + ", " + NODES.replace("n AS (", "n AS MATERIALIZED (")
+
+
 def _edges(t: Tables) -> DataFrame:
     l = t.lineitem.select("l_orderkey", "l_suppkey")  # noqa: E741
     o = t.orders.select("o_orderkey", "o_custkey")
@@ -75,20 +79,35 @@ def pagerank(t: Tables) -> DataFrame:
     return graph.pagerank(_edges(t), rounds=10, tol=0).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query("GRF-03")
+_hits = "h0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE AS hub, 1.0::DOUBLE AS authority FROM n)"
+for _i in range(1, 51):
+    _hits += f""", x{_i} AS MATERIALIZED (SELECT node, coalesce((SELECT sum(p.authority) FROM e JOIN h{_i - 1} p ON p.node = e.dst WHERE e.src = n.node), 0) AS h, coalesce((SELECT sum(p.hub) FROM e JOIN h{_i - 1} p ON p.node = e.src WHERE e.dst = n.node), 0) AS a FROM n),
+h{_i} AS MATERIALIZED (SELECT node, h / sqrt((SELECT sum(h * h) FROM x{_i})) AS hub, a / sqrt((SELECT sum(a * a) FROM x{_i})) AS authority FROM x{_i})"""
+
+
+@query("GRF-03", sql=f"WITH {MEASURED}, {_hits} SELECT node, round(hub, 4) AS hub, round(authority, 4) AS authority FROM h50")
 def hits(t: Tables) -> DataFrame:
     out = graph.hits(_edges(t))
     return out.select("node", F.round("hub", 4).alias("hub"), F.round("authority", 4).alias("authority"))
 
 
-@query("GRF-04")
+@query("GRF-04", sql=f"""WITH RECURSIVE {MEASURED}, w(s, node, d) AS (SELECT node, node, 0 FROM n UNION SELECT w.s, e.dst, w.d + 1 FROM w JOIN e ON e.src = w.node WHERE w.d < 25), dist AS MATERIALIZED (SELECT s, node, min(d) AS d FROM w GROUP BY 1, 2),
+g(s, node, d, sigma) AS (SELECT node, node, 0, 1.0::DOUBLE FROM n UNION ALL SELECT g.s, e.dst, g.d + 1, sum(g.sigma) FROM g JOIN e ON e.src = g.node JOIN dist ON dist.s = g.s AND dist.node = e.dst AND dist.d = g.d + 1 GROUP BY 1, 2, 3),
+b AS (SELECT v.node, sum(v.sigma * t.sigma / st.sigma) AS x FROM g v JOIN g t ON t.s = v.node JOIN g st ON st.s = v.s AND st.node = t.node AND st.d = v.d + t.d WHERE v.node <> v.s AND t.node <> v.node GROUP BY 1)
+SELECT node, round(coalesce(x, 0) / (SELECT count(*) FROM n), 6) AS score FROM n LEFT JOIN b USING (node)""")
 def betweenness(t: Tables) -> DataFrame:
     """Over all sources."""
     e = _edges(t)
     return graph.betweenness(e, graph.nodes_of(e)).select("node", F.round("score", 6).alias("score"))
 
 
-@query("GRF-05")
+_votes = "c0 AS MATERIALIZED (SELECT node, node AS community FROM n)"
+for _i in range(1, 31):
+    _votes += f""", c{_i} AS MATERIALIZED (SELECT node, arg_min(community, (-w, community)) AS community FROM (SELECT node, community, sum(w) AS w FROM (SELECT u.a AS node, c.community, u.w FROM u JOIN c{_i - 1} c ON c.node = u.b
+ UNION ALL SELECT node, community, 1 FROM c{_i - 1}) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("GRF-05", sql=f"WITH {MEASURED}, u AS MATERIALIZED (SELECT a, b, sum(weight) AS w FROM (SELECT src AS a, dst AS b, weight FROM e UNION ALL SELECT dst, src, weight FROM e) GROUP BY 1, 2), {_votes} SELECT node, community FROM c30")
 def communities(t: Tables) -> DataFrame:
     return graph.label_propagation(_edges(t))
 
@@ -137,6 +156,28 @@ def short_cycles(t: Tables) -> DataFrame:
     return graph.short_cycles(_edges(t))
 
 
+@query("GRF-11", sql=f"""WITH RECURSIVE {DAG}, m AS MATERIALIZED (SELECT * FROM d), r(node, l) AS (SELECT node, 0 FROM (SELECT src AS node FROM m UNION SELECT dst FROM m) UNION SELECT m.src, r.l + 1 FROM r JOIN m ON m.dst = r.node WHERE r.l < 30),
+k AS MATERIALIZED (SELECT node, max(l) AS l FROM r GROUP BY node), f AS MATERIALIZED (SELECT m.src, min(m.dst) AS dst FROM m JOIN k a ON a.node = m.src JOIN k b ON b.node = m.dst WHERE a.l = b.l + 1 GROUP BY 1),
+c(position, node) AS (SELECT 0, arg_min(node, (-l, node)) FROM k UNION ALL SELECT position + 1, dst FROM c JOIN f ON f.src = c.node) SELECT position, node FROM c""")
+def critical_route(t: Tables) -> DataFrame:
+    """The longest chain of nations itself."""
+    return graph.critical_route(_dag(t))
+
+
+@query("GRF-18", sql="""WITH w AS (SELECT DISTINCT l_partkey AS state_key, l_suppkey AS node, CASE WHEN l_discount = 0 THEN 'ends' ELSE 'begins' END AS role FROM lineitem WHERE l_discount >= 0)
+SELECT * FROM w WHERE state_key IN (SELECT state_key FROM w GROUP BY 1 HAVING count(DISTINCT role) = 2)""")
+def teardown_pairs(t: Tables) -> DataFrame:
+    """Suppliers that end a part's discount, and those that begin one."""
+    return graph.teardowns(t.lineitem.select(F.col("l_partkey").alias("state_key"), F.col("l_suppkey").alias("node"), F.col("l_discount").alias("value")))
+
+
+@query("GRF-18", sql="""WITH e AS (SELECT user_id, event_id, event_type IN ('view', 'click') AS d FROM events), b AS (SELECT *, coalesce((lag(d) OVER (PARTITION BY user_id ORDER BY event_id) = d)::INT, 1) AS b FROM e),
+r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM b) SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS steps FROM r GROUP BY user_id, run HAVING count(*) >= 4""")
+def ping_pong_runs(t: Tables) -> DataFrame:
+    """Where users' events go back and forth between two sides."""
+    return graph.ping_pong(t.events.select("user_id", "event_id", F.col("event_type").isin("view", "click").alias("d")), "user_id", "event_id", "d")
+
+
 #: Each nation's heaviest customer.
 CHAIN = EDGES + ", c AS (SELECT src, arg_min(dst, (-weight, dst)) AS dst FROM e GROUP BY src)"
 
@@ -152,6 +193,13 @@ def hierarchy_walk(t: Tables) -> DataFrame:
     return graph.hierarchy(_heaviest(t), "src", "dst")
 
 
+@query("GRF-12", sql=f"""WITH RECURSIVE {CHAIN}, k AS MATERIALIZED (SELECT * FROM c), r(path, closed) AS (SELECT [src], false FROM k UNION ALL SELECT CASE WHEN k.dst = r.path[1] THEN r.path ELSE list_append(r.path, k.dst) END, k.dst = r.path[1]
+ FROM r JOIN k ON k.src = r.path[-1] WHERE NOT closed AND (k.dst = r.path[1] OR NOT list_contains(r.path, k.dst))) SELECT path AS cycle FROM r WHERE closed AND path[1] = list_min(path)""")
+def cycles_of_any_length(t: Tables) -> DataFrame:
+    """Where the heaviest customers lead back."""
+    return graph.short_cycles(_heaviest(t), None)
+
+
 @query("GRF-17", sql=f"""WITH RECURSIVE {CHAIN}, r(node, chain) AS (SELECT src, [src] FROM c UNION ALL SELECT r.node, list_append(r.chain, c.dst) FROM r JOIN c ON c.src = r.chain[-1] WHERE NOT list_contains(r.chain, c.dst) AND len(r.chain) < 6)
 SELECT node, arg_max(chain, len(chain)) AS chain FROM r GROUP BY node""")
 def first_edge_chains(t: Tables) -> DataFrame:
@@ -167,7 +215,9 @@ def bounded_paths(t: Tables) -> DataFrame:
     return graph.paths(e, graph.roots_of(e), 40)
 
 
-@query("GRF-18")
+@query("GRF-18", sql=f"""WITH {EDGES} SELECT 'handshake' AS kind, [src, dst] AS nodes FROM e WHERE src < dst AND EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src)
+UNION ALL SELECT 'handshake', [x.src, y.src, z.src] FROM e x JOIN e y ON y.src = x.dst JOIN e z ON z.src = y.dst AND z.dst = x.src WHERE x.src < y.src AND x.src < z.src AND y.src <> z.src
+UNION ALL SELECT 'gate', [src] FROM e GROUP BY src HAVING count(*) >= 3""")
 def graph_patterns(t: Tables) -> DataFrame:
     return graph.patterns(_edges(t))
 

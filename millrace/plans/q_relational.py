@@ -169,7 +169,38 @@ def unique_key_join(t: Tables) -> DataFrame:
     return joins.unique_key_join(left, right, "h").select("left_id", "right_id")
 
 
-@query("JON-11", "JON-12")
+@query("JON-12", sql="""WITH d AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) AS w FROM documents), b AS (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) AS w FROM benchmark),
+x AS (SELECT w, min(doc_id) AS doc_id FROM d GROUP BY 1 HAVING count(*) = 1), y AS (SELECT w, min(item_id) AS item_id FROM b GROUP BY 1 HAVING count(*) = 1), p AS (SELECT doc_id, item_id, count(*) AS shared FROM x JOIN y USING (w) GROUP BY 1, 2)
+SELECT doc_id, arg_min(item_id, (-shared, item_id)) AS item_id, max(shared) AS shared FROM p GROUP BY 1""")
+def unique_token_partners(t: Tables) -> DataFrame:
+    """The benchmark item that shares most of the words which either side has in one place only."""
+    words = lambda df, i: df.select(i, F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("w"))
+    return joins.shared_unique_tokens(words(t.documents, "doc_id"), words(t.benchmark, "item_id"), "doc_id", "item_id", "w")
+
+
+@query("JON-11")
+def snapshot_match(t: Tables) -> DataFrame:
+    """Customers of two years matched one to one by seven strategies in order: names of those with an account, codes, their orders, signatures, the parts they bought, whom they trade with, sizes."""
+    from millrace.operators import matching
+
+    c = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    bought = t.orders.select("o_orderkey", "o_custkey", "o_orderdate").join(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+
+    def side(i: str, name, after: int) -> DataFrame:
+        sets = bought.where(F.year("o_orderdate") >= after).groupBy("o_custkey").agg(F.collect_set("l_partkey").alias("parts"), F.collect_set("l_suppkey").alias("sellers"), F.collect_set(F.col("o_orderkey").cast("string")).alias("orders"))
+        empty = F.array().cast("array<bigint>")
+        of = c.join(sets, F.col("c_custkey") == F.col("o_custkey"), "left")
+        return of.select(F.col("c_custkey").alias(i), name.alias("name"), F.when(F.col("c_acctbal") < 0, F.col("c_acctbal").cast("string")).alias("code"), F.when(F.col("c_nationkey") < 5, F.sha2(F.concat_ws("|", "c_nationkey", "c_name"), 256)).alias("signature"), F.coalesce("parts", empty).alias("parts"), F.coalesce("sellers", empty).alias("sellers"), F.array(F.col("c_nationkey").cast("bigint")).alias("places"), F.coalesce("orders", F.array().cast("array<string>")).alias("orders"), F.floor(F.col("c_acctbal")).alias("size"))
+
+    old = side("old", F.when(F.col("c_nationkey") >= 12, F.col("c_name")), 1990)
+    new = side("new", F.when(F.col("c_nationkey") >= 12, F.col("c_name")), 1993)
+    strings = lambda df, i: df.select(i, F.explode("orders").alias("w"))
+    strategies = [("name", matching.unique_key(old, new, "old", "new", "name", matching.NAME)), ("code", matching.unique_key(old, new, "old", "new", "code", matching.OPCODE)), ("strings", matching.unique_strings(strings(old, "old"), strings(new, "new"), "old", "new", "w")),
+                  ("signature", matching.unique_key(old, new, "old", "new", "signature", matching.SIGNATURE)), ("sets", matching.similar_sets(old, new, "old", "new", "parts")), ("calls", matching.neighbourhoods(old, new, "old", "new", "sellers", "places")), ("size", matching.sizes(old, new, "old", "new", "size"))]
+    return joins.priority_match(old, new, "old", "new", strategies)
+
+
+@query("JON-11")
 def priority_match(t: Tables) -> DataFrame:
     """Documents matched one to one with benchmark items: by equal text, then by the number of words that either side has in one place only."""
     d = t.documents.select("doc_id", "text")
@@ -218,7 +249,20 @@ _vals = " UNION ".join(f"SELECT '{a}' AS \"table\", '{c}' AS \"column\", {c}::BI
 _ids = " UNION ".join(f"SELECT '{a}' AS target, {c}::BIGINT AS value FROM {a} WHERE {c} > 0" for a, cs in KEYS.items() for c in cs)
 
 
-@query("JON-18", "JON-19", sql=f"""
+PARENTS = {"nation": ["n_regionkey"], "customer": ["c_nationkey"], "orders": ["o_custkey"], "lineitem": ["l_orderkey"]}
+_parent_vals = " UNION ".join(f"SELECT '{a}' AS \"table\", '{c}' AS \"column\", {c}::BIGINT AS value FROM {a} WHERE {c} > 0" for a, cs in PARENTS.items() for c in cs)
+
+
+@query("JON-19", sql=f"""
+WITH v AS ({_parent_vals}), i AS ({_ids}), n AS (SELECT "table", "column", count(*) AS n_values FROM v GROUP BY 1, 2), m AS (SELECT v."table", v."column", target AS parent, count(*) AS matches FROM v JOIN i USING (value) WHERE v."table" <> target GROUP BY 1, 2, 3)
+SELECT "table", "column", parent, matches, n_values FROM (SELECT *, row_number() OVER (PARTITION BY "table", "column" ORDER BY matches DESC, parent) AS r FROM m) JOIN n USING ("table", "column") WHERE r = 1 AND matches >= greatest(1, 0.3 * n_values)""")
+def parent_tables(t: Tables) -> DataFrame:
+    """The tables that fields of parents point to."""
+    tables = {n: getattr(t, n) for n in {*PARENTS, *KEYS}}
+    return joins.parents(joins.long_integers(tables, PARENTS), joins.long_integers(tables, KEYS))
+
+
+@query("JON-18", sql=f"""
 WITH v AS ({_vals}), i AS ({_ids}), n AS (SELECT "table", "column", count(*) AS n_values FROM v GROUP BY 1, 2), s AS (SELECT target, count(*) AS sz FROM i GROUP BY 1),
 m AS (SELECT v."table", v."column", target, count(*) AS matches FROM v JOIN i USING (value) WHERE v."table" <> target GROUP BY 1, 2, 3),
 c AS (SELECT m.*, n_values, sz, round_even(least(1.0, (matches / n_values) * (1 + least(matches, 100) / 100) / 2), 3) AS confidence FROM m JOIN n USING ("table", "column") JOIN s USING (target) WHERE matches >= 5 AND matches / n_values >= 0.5)
@@ -304,7 +348,7 @@ def having_duplicates(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("AGG-05", "AGG-06", "FN-14", sql="""SELECT count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS types, min(event_id) AS first_id, max(event_id) AS last_id, coalesce(sum(length(props)), 0)::BIGINT AS prop_chars, coalesce(sum(CASE WHEN event_type = 'none' THEN 1 END), 0)::BIGINT AS nothing FROM events""")
+@query("AGG-05", "AGG-06", sql="""SELECT count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS types, min(event_id) AS first_id, max(event_id) AS last_id, coalesce(sum(length(props)), 0)::BIGINT AS prop_chars, coalesce(sum(CASE WHEN event_type = 'none' THEN 1 END), 0)::BIGINT AS nothing FROM events""")
 def distinct_counts(t: Tables) -> DataFrame:
     return t.events.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("event_type").alias("types"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.coalesce(F.sum(F.length("props")), F.lit(0)).alias("prop_chars"), F.coalesce(F.sum(F.when(F.col("event_type") == "none", 1)), F.lit(0)).alias("nothing"))
 
@@ -394,7 +438,38 @@ def upsert_merge(t: Tables) -> DataFrame:
     return merge.upsert(None, e, ["user_id"], rules, ["event_id"])
 
 
-@query("STR-05", "STR-06", sql="""
+@query("STR-06", sql="""SELECT p_partkey, CASE WHEN p_brand IN ('Brand#3', 'Brand#7') THEN 'compute' ELSE 'cached' END AS state, CASE WHEN p_brand NOT IN ('Brand#3', 'Brand#7') THEN length(p_name) END AS letters FROM part WHERE p_size < 10 OR p_brand IN ('Brand#3', 'Brand#7')
+UNION ALL SELECT p_partkey, 'compute', NULL FROM part WHERE NOT (p_size < 10 OR p_brand IN ('Brand#3', 'Brand#7'))""")
+def cached_lengths(t: Tables) -> DataFrame:
+    """A cache by content: entries whose text changed since, or that it never had, are to be computed."""
+    from millrace.plans.planner import cached
+
+    p = t.part.select("p_partkey", "p_name", "p_size", "p_brand")
+    changed = F.when(F.col("p_brand").isin("Brand#3", "Brand#7"), F.concat("p_name", F.lit("*"))).otherwise(F.col("p_name"))
+    cache = p.where("p_size < 10").select("p_partkey", F.sha2("p_name", 256).alias("digest"), F.length("p_name").cast("bigint").alias("letters"))
+    hits, misses = cached(p.select("p_partkey", F.sha2(changed, 256).alias("digest")), cache, "p_partkey", "digest")
+    return hits.select("p_partkey", F.lit("cached").alias("state"), "letters").unionByName(misses.select("p_partkey", F.lit("compute").alias("state"), F.lit(None).cast("bigint").alias("letters")))
+
+
+@query("FN-03", sql=r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace('v' || p_partkey || ' = NUM; STR ' || p_name || ' + a' || p_size || ' VARx ', '\s+', ' ', 'g'), '\b\d+\b', 'NUM', 'g'), '\b[av]\d+\b', 'VAR', 'g')) AS code FROM part""")
+def normalised_code(t: Tables) -> DataFrame:
+    """Statements made of parts without their comments, numbers, strings and variables."""
+    from millrace.functions.scalar import normalise_code
+
+    text = F.concat(F.lit("v"), "p_partkey", F.lit(" = 0x"), F.hex("p_partkey"), F.lit("; /* "), "p_type", F.lit("\n*/ \""), "p_brand", F.lit('" '), "p_name", F.lit("  +\ta"), "p_size", F.lit(" VARx // "), "p_brand")
+    return t.part.select("p_partkey", normalise_code(text).alias("code"))
+
+
+@query("FN-14", sql="""SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'none' ELSE substr(text, 1, 8) END AS head, CASE WHEN doc_id IS NULL OR doc_id = 0 THEN -1 ELSE doc_id END AS number, CASE WHEN text IS NULL OR text = '' THEN ['empty'] ELSE [lang] END AS list FROM documents""")
+def defaults(t: Tables) -> DataFrame:
+    """Defaults for what counts as missing: null, zero, empty texts and empty arrays."""
+    from millrace.functions.semantics import falsy, or_default
+
+    array = F.when(falsy(F.col("text"), "string"), F.array().cast("array<string>")).otherwise(F.array("lang"))
+    return t.documents.select("doc_id", or_default(F.substring("text", 1, 8), F.lit("none"), "string").alias("head"), or_default(F.col("doc_id"), F.lit(-1).cast("bigint"), "number").alias("number"), or_default(array, F.array(F.lit("empty")), "array").alias("list"))
+
+
+@query("STR-05", sql="""
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS seen_count, arg_max(substr(props, 1, 6), event_id) AS error_msg FROM events WHERE event_type = 'error' GROUP BY 1""")
 def failure_ledger(t: Tables) -> DataFrame:
     """Errors deduplicated into a ledger with counters."""
@@ -430,7 +505,7 @@ def order_by_coalesce(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", label.alias("label"), (F.col("o_orderstatus") == "F").alias("f")).orderBy(F.desc("f"), "label", "o_orderkey").drop("f")
 
 
-@query("FN-01", "FN-03", "FN-06", "FN-15", "FN-11", sql="""
+@query("FN-01", "FN-06", "FN-15", "FN-11", sql="""
 SELECT p_partkey, list_aggregate(list_transform(string_split(lower(replace(p_name, ' ', '_')), '_'), lambda w: upper(w[1]) || w[2:]), 'string_agg', '') AS pascal, substr(sha256(p_name), 1, 16) AS h16, substr(md5(p_name), 1, 8) AS m8,
  '0x' || lower(to_hex(4194304 + p_partkey)) AS address, (p_size > 0 AND (p_size & (p_size - 1)) = 0) AS pow2, bit_count(p_size)::INT AS ones, (p_partkey * 60) % 1440 >= 1320 OR (p_partkey * 60) % 1440 < 360 AS at_night FROM part""")
 def scalar_functions(t: Tables) -> DataFrame:

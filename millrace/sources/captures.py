@@ -81,12 +81,17 @@ def split(files: DataFrame) -> DataFrame:
 SYNONYMS = {"direction": ("direction", "dir"), "opcode": ("opcode", "opcode_id", "opcodeid"), "opcode_name": ("opcode_name", "opcodename", "name"), "data": ("data", "payload", "hex", "hex_data")}
 
 
-def csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def below(glob: str | None) -> dict[str, str]:
+    """Options of a reader that takes every file of a name below its path."""
+    return {} if glob is None else {"pathGlobFilter": glob, "recursiveFileLookup": "true"}
+
+
+def csv(spark: SparkSession, path: str, sep: str | None = None, glob: str | None = None) -> DataFrame:
     """CSV or TSV with a header of synonyms in any case; rows without a number for an opcode are dropped, the timestamp is kept."""
     if sep is None:
-        head = spark.read.text(path).limit(1).collect()
+        head = spark.read.options(**below(glob)).text(path).limit(1).collect()
         sep = "\t" if head and "\t" in head[0].value else ","
-    df = spark.read.option("header", True).option("sep", sep).csv(path)
+    df = spark.read.options(**below(glob)).option("header", True).option("sep", sep).csv(path)
     low = {c.strip().lower(): c for c in df.columns}
     pick = {k: next((low[n] for n in names if n in low), None) for k, names in SYNONYMS.items()}
     ts = next((low[n] for n in sorted(low) if "timestamp" in n), None) or next((low[n] for n in sorted(low) if "time" in n), None)
@@ -105,9 +110,9 @@ BRACKETS = r"\\(((?:[^()']|'[^']*')*)\\)"
 COLUMNS = "id string, direction string, opcode string, time string, data string"
 
 
-def sql_dump(spark: SparkSession, path: str) -> DataFrame:
+def sql_dump(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
     """Rows (id, direction, opcode, time, hex) of INSERT statements, a line at a time; comments are skipped. Opcodes and payloads are hexadecimal."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("v")).where(~F.col("v").rlike("^(--|#)"))
+    lines = spark.read.options(**below(glob)).text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("v")).where(~F.col("v").rlike("^(--|#)"))
     values = lines.select("file", F.explode(F.expr(f"regexp_extract_all(v, '{BRACKETS.replace(chr(39), chr(92) + chr(39))}', 1)")).alias("row"))
     rows = values.select("file", F.monotonically_increasing_id().alias("seq"), F.from_csv("row", COLUMNS, {"quote": "'", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r"))
     digits = lambda c: F.regexp_replace(F.coalesce(F.col(f"r.{c}"), F.lit("")), "^0[xX]", "")
@@ -145,9 +150,9 @@ def dumped(line: str) -> bytes:
     return bytes(out)
 
 
-def text(spark: SparkSession, path: str) -> DataFrame:
+def text(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
     """Text exports: a header line a packet, then hex dump lines. A file is one row of one task and must fit in its memory."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.options(**below(glob)).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def of(batches):
         import pyarrow as pa
@@ -178,7 +183,7 @@ def discover(spark: SparkSession, path: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """All captures below path, whatever their form."""
+    """All captures below path, at any depth, whatever their form."""
     from functools import reduce
 
     forms = {r.form: None for r in discover(spark, path).select("form").distinct().collect()}
@@ -187,5 +192,5 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
         parts.append(binary(spark, path))
     for form in ("csv", "tsv", "sql", "txt"):
         if form in forms:
-            parts.append(FORMS[form](spark, f"{path}/*.{form}"))
+            parts.append(FORMS[form](spark, path, glob=f"*.{form}"))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)

@@ -12,7 +12,7 @@ ENTRY = r"(\w+)\s*=\s*(0x[0-9A-Fa-f]+|\d+)"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), "value")
 
 
 def structs(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +34,7 @@ def enums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def definitions(spark: SparkSession, path: str) -> DataFrame:
-    """file, type, name, refers_to: the COLUMNS of table definition files."""
+    """file, path, type, name, refers_to: the COLUMNS of table definition files."""
     line = r"^(\w+)(?:<(\w+::\w+)>)?\s+(\w+)\??"
-    rows = files(spark, path).select("file", F.explode(F.split(F.regexp_extract("value", r"(?s)COLUMNS\s*\n(.*?)(?:\n\s*\n|\z)", 1), "\n")).alias("l"))
-    return rows.where(F.col("l").rlike(line)).select("file", F.regexp_extract("l", line, 1).alias("type"), F.regexp_extract("l", line, 3).alias("name"), F.nullif(F.regexp_extract("l", line, 2), F.lit("")).alias("refers_to"))
+    rows = files(spark, path).select("file", "path", F.explode(F.split(F.regexp_extract("value", r"(?s)COLUMNS\s*\n(.*?)(?:\n\s*\n|\z)", 1), "\n")).alias("l"))
+    return rows.where(F.col("l").rlike(line)).select("file", "path", F.regexp_extract("l", line, 1).alias("type"), F.regexp_extract("l", line, 3).alias("name"), F.nullif(F.regexp_extract("l", line, 2), F.lit("")).alias("refers_to"))

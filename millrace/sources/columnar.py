@@ -137,7 +137,11 @@ def cstring(data: bytes, at: int) -> str | None:
 
 def rows(spark: SparkSession, path: str, glob: str = "*.db2") -> DataFrame:
     """file, row_id, field, kind, value columns: the cells of every file below path in long form; a file a task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return cells(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content"))
+
+
+def cells(files: DataFrame) -> DataFrame:
+    """The cells of files (path, content)."""
 
     def of(batches):
         import pyarrow as pa
@@ -151,7 +155,7 @@ def rows(spark: SparkSession, path: str, glob: str = "*.db2") -> DataFrame:
                         kind = ["array"] * n if wide else ["string" if texts and t is not None else "int" for t in texts or [None] * n]
                         yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(ids), pa.array([i] * n, pa.int32()), pa.array(kind), pa.array([None] * n if wide else v.tolist(), pa.int64()), pa.array(texts or [None] * n, pa.string()), pa.array(v.tolist() if wide else [None] * n, pa.list_(pa.int64()))], ["file", "row_id", "field", "kind", "int_value", "text_value", "array_value"])
 
-    return files.mapInArrow(of, SCHEMA)
+    return files.select("path", "content").mapInArrow(of, SCHEMA)
 
 
 def search(cells: DataFrame, value: int) -> DataFrame:

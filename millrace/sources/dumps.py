@@ -76,23 +76,36 @@ SPECS = {
         SourceSpec("update_fields", ("fields",), {"object_type": ("string", ("object_type",)), "field_name": ("string", ("field_name", "name")), "field_offset": ("int", ("field_offset", "offset")), "field_size": ("int", ("field_size", "size")), "field_type": ("string", ("field_type", "type"))}, ("field_name",)),
         SourceSpec("enums", ("enums",), {"name": ("string", ("name",)), "table_rva": (A, ("table_rva",))}, ("name",), {"values": "array<struct<`index`: bigint, value: string, name: string, confidence: double>>"}),
         SourceSpec("opcode_dispatch", ("dispatch_tables",), {}, (), {"handlers": "array<struct<opcode: string, handler_rva: string, jam_name: string, direction: string>>"}),
+        SourceSpec("ctor_dtor", ("entries", "constructors"), {"func_rva": (A, ("func_rva",)), "kind": ("string", ("type",)), "class_name": ("string", ("class",)), "vtable_rva": (A, ("vtable_rva",))}, ("func_rva",)),
+        SourceSpec("vcall_sites", ("sites", "vcall_sites"), {"call_site_rva": (A, ("call_site_rva",)), "vtable_class": ("string", ("vtable_class",)), "slot": ("int", ("slot",)), "target_rva": (A, ("target_rva",))}, ("call_site_rva",)),
+        SourceSpec("named_data", ("items", "named_data"), {"rva": (A, ("rva",)), "name": ("string", ("name",)), "section": ("string", ("section",))}, ("rva",)),
+        SourceSpec("hotfix_tables", ("tables",), {"rva": (A, ("registration_rva",)), "name": ("string", ("name",)), "priority": ("int", ("priority",)), "has_string_fields": ("boolean", ("has_string_fields",))}, ("rva",)),
+        SourceSpec("spell_effects", ("effects",), {"handler_rva": (A, ("handler_rva",)), "name": ("string", ("name",)), "id": ("int", ("id",)), "confidence": ("double", ("confidence",))}, ("handler_rva",)),
+        SourceSpec("statemachines", ("machines",), {"func_rva": (A, ("func_rva",)), "state_count": ("int", ("state_count",))}, ("func_rva",), {"states": "array<struct<value: bigint, handler: string>>"}),
+        SourceSpec("lua_metatables", ("types",), {"type_name": ("string", ("type_name",))}, ("type_name",), {"methods": "array<struct<name: string, rva: string>>"}),
         SourceSpec("vtable_methods", ("methods",), {"class_name": ("string", ("class_name", "class")), "vtable_rva": (A, ("vtable_rva",))}, ("vtable_rva",), {"methods": "array<struct<slot: bigint, `index`: bigint, rva: string, func_rva: string, method_rva: string, name: string, method_name: string>>"}),
     ]
 }
 
 
-def opcode_dispatch(spark: SparkSession, path: str) -> DataFrame:
+def opcode_dispatch(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """direction, opcode, handler_rva, jam_name."""
-    h = load(spark, SPECS["opcode_dispatch"], path).select(F.explode("handlers").alias("h"))
+    h = load(spark, SPECS["opcode_dispatch"], path, lines).select(F.explode("handlers").alias("h"))
     return h.select("h.direction", parse_int(F.col("h.opcode")).alias("opcode"), parse_int(F.col("h.handler_rva")).alias("handler_rva"), "h.jam_name").where("opcode IS NOT NULL")
 
 
-def vtable_entries(spark: SparkSession, path: str) -> DataFrame:
+def vtable_entries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """vtable_rva, class_name, slot, func_rva, func_name; alternative names of the fields."""
-    m = load(spark, SPECS["vtable_methods"], path).select("vtable_rva", "class_name", F.explode("methods").alias("m"))
+    m = load(spark, SPECS["vtable_methods"], path, lines).select("vtable_rva", "class_name", F.explode("methods").alias("m"))
     return m.select("vtable_rva", "class_name", F.coalesce("m.slot", "m.index").alias("slot"), F.coalesce(*(parse_int(F.col(f"m.{c}")) for c in ("rva", "func_rva", "method_rva"))).alias("func_rva"), F.coalesce("m.name", "m.method_name").alias("func_name"))
 
 
+def machine_states(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """func_rva, state_count, state_value, handler_rva: a row for each state of a machine."""
+    m = load(spark, SPECS["statemachines"], path, lines).select("func_rva", "state_count", F.explode("states").alias("s"))
+    return m.select("func_rva", "state_count", F.col("s.value").alias("state_value"), parse_int(F.col("s.handler")).alias("handler_rva"))
+
+
 def messages(spark: SparkSession, path: str) -> DataFrame:
     """category, name, function_rva, handler_rva: every list of a document of categories, whatever these are called."""
     item = "array<struct<name: string, function_rva: string, code_rva: string, handler_rva: string>>"
