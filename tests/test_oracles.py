@@ -47,6 +47,6 @@ def test_query(spark, duck, name):
 
 def test_every_operator_has_a_query():
     shown = {i for q in catalog.REGISTRY.values() for i in q.ids}
-    families = {"FLT": 16, "JON": 24, "AGG": 30, "WIN": 14, "ORD": 4, "SET": 5, "GRF": 19, "SIM": 11, "FN": 15, "STR": 10}
+    families = {"SRC": 17, "SNK": 9, "UDF": 4, "FLT": 16, "JON": 24, "AGG": 30, "WIN": 14, "ORD": 4, "SET": 5, "GRF": 19, "SIM": 11, "FN": 15, "STR": 10}
     missing = [f"{f}-{n:02d}" for f, k in families.items() for n in range(1, k + 1) if f"{f}-{n:02d}" not in shown]
-    assert missing == []
+    assert missing == ["SNK-07"]  # endpoints answer over HTTP: tests/test_results.py
