@@ -1,7 +1,7 @@
 """Token ids of a byte-level BPE vocabulary, by the tokenizers library.
 
 Byte-level BPE merges within the pieces that its pattern cuts a text into, so the library is asked once for each distinct piece and the
-answer is kept (at most about MEMO pieces a worker, some 50 MB: executors may run more workers than tasks). Pieces are numbered as they
+answer is kept (at most about MEMO pieces a worker, some 50 MB: executors may run more workers than tasks; beyond that the rare ones go). Pieces are numbered as they
 come; the ids of a chunk of texts are then gathered from one array. Texts with anything on which two implementations of the pattern could differ (characters
 beyond Latin, controls, a special token's brackets) go through the library whole.
 """
@@ -81,6 +81,25 @@ class Encoder:
         self.memo = Numbers()
         self.known, self.filled = 0, 0  # pieces and ids that the arrays hold
         self.start, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.used = np.zeros(1024, np.int64)
+
+    def _thin(self) -> None:
+        """Forget pieces, but keep up to half of MEMO of them: those seen most often among those seen more than once."""
+        import numpy as np
+
+        used, count, start, ids = self.used[: self.known], self.count[: self.known], self.start[: self.known], self.ids
+        keep = np.flatnonzero(used > 1)
+        if len(keep) > MEMO // 2:
+            keep = np.sort(keep[np.argsort(-used[keep], kind="stable")[: MEMO // 2]])
+        names = list(self.memo)
+        self._forget()
+        self.memo.update(zip([names[i] for i in keep.tolist()], range(len(keep))))
+        count, ends = count[keep], np.cumsum(count[keep])
+        total = int(ends[-1]) if len(ends) else 0
+        self.ids = np.resize(ids[np.repeat(start[keep] - (ends - count), count) + np.arange(total)], max(total, 4096))
+        size = max(len(keep), 1024)
+        self.start, self.count, self.used = (np.resize(x, size) if len(keep) else np.zeros(size, np.int64) for x in (ends - count, count, used[keep] // 2))
+        self.known, self.filled = len(keep), total
 
     def _learn(self) -> None:
         """Ask the library for the ids of the pending pieces, many a call."""
@@ -95,12 +114,13 @@ class Encoder:
             if not np.array_equal(ends[last - 1], wanted):
                 raise ValueError("tokens don't end where pieces do")
             while self.known + len(some) > len(self.start):
-                self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
+                self.start, self.count, self.used = (np.resize(x, 2 * len(x)) for x in (self.start, self.count, self.used))
             while self.filled + len(ids) > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * len(self.ids))
             first = np.concatenate([[0], last[:-1]])
             self.start[self.known : self.known + len(some)] = self.filled + first
             self.count[self.known : self.known + len(some)] = last - first
+            self.used[self.known : self.known + len(some)] = 0
             self.ids[self.filled : self.filled + len(ids)] = ids
             self.known, self.filled = self.known + len(some), self.filled + len(ids)
 
@@ -111,13 +131,14 @@ class Encoder:
         import numpy as np
 
         if len(self.memo) > MEMO:
-            self._forget()
+            self._thin()
         texts = [t or "" for t in texts]
         cut = [self.cut(t) if self.plain(t) and not any(s in t for s in self.special) else None for t in texts]
         sizes = [len(p) if p is not None else 0 for p in cut]
         number = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(p for p in cut if p is not None)), np.int64, sum(sizes))
         if self.memo.pending:
             self._learn()
+        self.used[: self.known] += np.bincount(number, minlength=self.known)
         counts = self.count[number]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0

@@ -211,3 +211,18 @@ def test_packing_of_repeated_rows(spark):
     for r in got:
         size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
     assert max(size.values()) <= 2048
+
+
+def test_thinned_memory_keeps_ids(monkeypatch):
+    """Pieces that go and come back get the library's ids."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from millrace.llm import byte_bpe
+
+    monkeypatch.setattr(byte_bpe, "MEMO", 60)
+    e, library = byte_bpe.Encoder(byte_bpe.vocabulary()), Tokenizer.from_file(byte_bpe.vocabulary())
+    for k in range(40):
+        texts = [f"the common words of chunk {k} and rare{k * j}thing {j}" for j in range(k % 9)] + [None, ""]
+        got = [np.frombuffer(r, "<u4").tolist() for r in e.encode(texts)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
