@@ -303,12 +303,12 @@ def bit_decode(t: Tables) -> DataFrame:
     """Events packed into bytes and decoded again by a schema, with optional and counted fields."""
     from millrace.functions.decode import FIELD, decode
 
-    fields = [("bit", "has_user", 0, False, "", False, ""), ("bits", "n", 3, False, "", False, ""), ("flush", "pad", 0, False, "", False, ""), ("uint32", "id", 0, False, "", False, ""), ("uint16", "user", 0, True, "has_user", False, ""), ("uint8", "tail", 0, False, "", True, "n")]
+    fields = [("bit", "has_user", 0, False, "", False, ""), ("bits", "n", 3, False, "", False, ""), ("flush", "pad", 0, False, "", False, ""), ("int64", "id", 0, False, "", False, ""), ("uint16", "user", 0, True, "has_user", False, ""), ("uint8", "tail", 0, False, "", True, "n")]
     schema = F.array(*(F.struct(*(F.lit(v).cast(k).alias(n) for v, (n, k) in zip(f, [("type", "string"), ("name", "string"), ("bit_size", "int"), ("is_optional", "boolean"), ("condition", "string"), ("is_array", "boolean"), ("array_size_field", "string")]))) for f in fields)).cast(f"array<{FIELD}>")
     n = F.col("user_id") % 4
     le = lambda c, size: F.concat(*(F.substring(F.lpad(F.hex(c), 2 * size, "0"), 2 * (size - i) - 1, 2) for i in range(size)))
     head = F.lpad(F.hex((F.when(F.col("user_id") % 2 == 0, 128).otherwise(0) + n * 16).cast("bigint")), 2, "0")
-    packed = F.unhex(F.concat(head, le(F.col("event_id"), 4), F.when(F.col("user_id") % 2 == 0, le(F.col("user_id"), 2)).otherwise(""), F.repeat(F.lit("07"), n.cast("int"))))
+    packed = F.unhex(F.concat(head, le(F.col("event_id"), 8), F.when(F.col("user_id") % 2 == 0, le(F.col("user_id").bitwiseAND(65535), 2)).otherwise(""), F.repeat(F.lit("07"), n.cast("int"))))
     out = decode(t.events.select("event_id", packed.alias("data"), schema.alias("fields")), "data", "fields", ["event_id"])
     v = F.col("decoded_values")
     return out.select("event_id", "success", "fields_decoded", F.get(v["id"], F.lit(0)).cast("bigint").alias("id"), F.get(F.try_element_at(v, F.lit("user")), F.lit(0)).cast("bigint").alias("user"), F.size(v["tail"]).alias("tail"), "error_message")
