@@ -2,11 +2,15 @@
 
 import glob
 import os
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import catalog
+from millrace.operators import joins
+from millrace.sources import code
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -41,3 +45,25 @@ def held_to_sql(spark, tmp_path):
 def test_ids_wider_than_their_fields(held_to_sql):
     rows = held_to_sql("bit_decode", events="SELECT * REPLACE (event_id + 5_000_000_000 AS event_id, user_id + 65_530 AS user_id) FROM {}")
     assert any(r[4] is not None and r[4] < 100 for r in rows)
+
+
+def test_dependencies_make_no_pairs_beyond_their_results(spark):
+    """A thousand readers and writers of one key, a writer each: stages are keys of the join; a node with two values is served for each."""
+    r = spark.range(1000).select(F.col("id").alias("node"), F.lit("k").alias("state_key"), F.col("id").alias("value"))
+    w = r.withColumn("node", F.col("node") + 1000)
+    same = F.col("w.value") == F.col("r.value")
+    plan = joins.dependencies(r, w, [same])._jdf.queryExecution().optimizedPlan().toString()
+    assert "value" in plan.split("Join Inner")[1].split("\n")[0]
+    again = r.union(r.where("node = 0").withColumn("value", F.lit(-1).cast("long")))
+    got = joins.dependencies(again, w, [same, F.col("w.value") > F.col("r.value") + 997])
+    assert got.where("stage = 0").count() == 1000 and sorted(map(tuple, got.where("stage = 1").collect())) == [(0, "k", 1997, 1), (0, "k", 1998, 1), (0, "k", 1999, 1)]
+
+
+def test_long_sources_are_scanned_once(spark, tmp_path):
+    """A file of 20,000 entries: the text that holds them is not searched again for each (which takes minutes)."""
+    text = "enum Big : uint32\n{\n" + ",\n".join(f"    P_{i} = 0x{i:X}" for i in range(20_000)) + "\n};\n"
+    (tmp_path / "big.h").write_text(text)
+    began = time.monotonic()
+    df = code.enums(spark, str(tmp_path))
+    assert df.agg(F.count("*"), F.sum("value"), F.min("enum")).first() == (20_000, 19_999 * 10_000, "Big")
+    assert time.monotonic() - began < 30
