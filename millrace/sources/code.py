@@ -25,11 +25,12 @@ def structs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def enums(spark: SparkSession, path: str) -> DataFrame:
-    """file, enum, name, value."""
+    """file, enum, name, value. What a block says once is taken from it before its entries become rows."""
     from millrace.functions.scalar import parse_int
 
     blocks = files(spark, path).select("file", F.explode(F.regexp_extract_all("value", F.lit(f"({ENUM})"), 1)).alias("b"))
-    entries = blocks.select("file", F.regexp_extract("b", ENUM, 1).alias("enum"), F.explode(F.regexp_extract_all(F.regexp_extract("b", ENUM, 2), F.lit(f"({ENTRY})"), 1)).alias("e"))
+    lists = blocks.select("file", F.regexp_extract("b", ENUM, 1).alias("enum"), F.regexp_extract_all(F.regexp_extract("b", ENUM, 2), F.lit(f"({ENTRY})"), 1).alias("es"))
+    entries = lists.select("file", "enum", F.explode("es").alias("e"))
     return entries.select("file", "enum", F.regexp_extract("e", ENTRY, 1).alias("name"), parse_int(F.regexp_extract("e", ENTRY, 2)).alias("value"))
 
 
