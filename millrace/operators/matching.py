@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import jaccard_pairs
+from millrace.operators.joins import jaccard_across
 
 #: The confidence of each strategy, and the least similarity of sets and of neighbourhoods.
 NAME, OPCODE, STRINGS, SIGNATURE, CALLS, SIZE = 100.0, 95.0, 90.0, 85.0, 65.0, 50.0
@@ -37,9 +37,7 @@ def unique_strings(old: DataFrame, new: DataFrame, lid: str, rid: str, token: st
 
 def _across(old: DataFrame, new: DataFrame, lid: str, rid: str, elements: str, least: float) -> DataFrame:
     """lid, rid, closeness: pairs of sets across the sides whose Jaccard similarity is least or more."""
-    side = lambda df, i, s: df.where(F.size(elements) > 0).select(F.struct(F.lit(s).alias("side"), F.col(i).alias("id")).alias("k"), elements)
-    pairs = jaccard_pairs(side(old, lid, 0).unionByName(side(new, rid, 1)), "k", elements, least).where("a.side = 0 AND b.side = 1")
-    return pairs.select(F.col("a.id").alias(lid), F.col("b.id").alias(rid), F.col("jaccard").alias("closeness"))
+    return jaccard_across(old, new, lid, rid, elements, least).withColumnRenamed("jaccard", "closeness")
 
 
 def similar_sets(old: DataFrame, new: DataFrame, lid: str, rid: str, elements: str) -> DataFrame:

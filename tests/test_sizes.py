@@ -91,3 +91,26 @@ def test_ranges_lose_nothing(held_to_sql, spark):
         got = {(r.l, r.r) for r in joins.range_join(left, right, "x", "y", 8, within).collect()}
         finite = [(i, v) for i, v in enumerate(values) if math.isfinite(v)]
         assert got == {(i, k) for i, x in finite for k, y in finite if x // 8 == y // 8 and abs(y - x) < within * x}
+
+
+def test_late_strategies_take_unmatched_rows_only(spark):
+    """A strategy given as a function is asked for the candidates of those left, and not at all where none is; sets meet across the sides as all pairs do."""
+    left, right = spark.createDataFrame([(i,) for i in range(9)], "l int"), spark.createDataFrame([(i,) for i in range(20, 29)], "r int")
+    asked = []
+
+    def late(upto):
+        def of(rest):
+            asked.append(sorted(r.l for r in rest.collect()))
+            return rest.where(F.col("l") < upto).select("l", (F.col("l") + 20).alias("r"), F.lit(1.0).alias("score"))
+
+        return of
+
+    first = left.where("l < 3").select("l", (F.col("l") + 20).alias("r"), F.lit(5.0).alias("score"))
+    got = joins.priority_match(left, right, "l", "r", [("first", first), ("late", late(6)), ("later", late(9)), ("never", late(9))])
+    assert {r.l: r.strategy for r in got.collect()} == {i: "first" if i < 3 else "late" if i < 6 else "later" for i in range(9)}
+    assert asked == [list(range(3, 9)), list(range(6, 9))]
+    rnd = random.Random(8)
+    a, b = ([(i, sorted({rnd.randrange(15) for _ in range(rnd.randint(0, 9))})) for i in range(50)] for _ in range(2))
+    for least in (0.17, 0.5, 1.0):
+        found = joins.jaccard_across(spark.createDataFrame(a, "l int, e array<int>"), spark.createDataFrame(b, "r int, e array<int>"), "l", "r", "e", least)
+        assert {(r.l, r.r) for r in found.collect()} == {(i, k) for i, x in a for k, y in b if x and y and len({*x} & {*y}) / len({*x} | {*y}) >= least - 1e-12}
