@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._common import drop_rows, materialize, ship, spread, with_row_key
+from millrace.llm._common import drop_rows, fresh, materialize, ship, spread, with_row_key
 from millrace.llm.graph import components, named_components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TABLES, BAND, SLACK = 20, 5, 0.2
 WORDS = 16
 BITS = 64 * WORDS
-PIVOTS, CROWD, GROUP, RUNS, DEALS = 16, 4096, 512, 64, 2
+PIVOTS, CROWD, GROUP, RUNS, DEALS, FILTER = 16, 4096, 512, 64, 2, 1 << 20
 
 
 def radius(threshold: float) -> int:
@@ -95,22 +95,23 @@ def minima(hashes):
     return key.view(np.int64)
 
 
-def digest(data: bytes):
-    """The signature of a UTF-8 text, its TABLES keys, and the sorted hashes of its distinct shingles."""
+def shingle_set(data: bytes):
+    """The sorted hashes of the distinct shingles of a UTF-8 text."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     ws = data.lower().split()
     if not ws:
-        return bytes(BITS // 8), [0] * TABLES, np.zeros(0, np.uint64)
-    own = shingles(np.fromiter(map(xxh64_intdigest, ws), np.uint64, len(ws)), SHINGLE)
-    return vote(own, WORDS).tobytes(), minima(own).tolist(), own
+        return np.zeros(0, np.uint64)
+    return shingles(np.fromiter(map(xxh64_intdigest, ws), np.uint64, len(ws)), SHINGLE)
 
 
 def sketch(data: bytes) -> tuple[bytes, list[int], int]:
     """The signature of a UTF-8 text, its TABLES keys, and the number of its distinct shingles."""
-    sig, keys, own = digest(data)
-    return sig, keys, len(own)
+    own = shingle_set(data)
+    if not len(own):
+        return bytes(BITS // 8), [0] * TABLES, 0
+    return vote(own, WORDS).tobytes(), minima(own).tolist(), len(own)
 
 
 def references():
@@ -281,39 +282,70 @@ def all_links(rows: DataFrame, threshold: float, bound: int) -> DataFrame:
 
 def links(classes: DataFrame, threshold: float) -> DataFrame:
     """a, b: links between classes (node, sig, n, keys) of that estimated similarity."""
-    under = classes.select("node", "sig", "n", F.posexplode("keys").alias("t", "k")).select("node", "sig", "n", F.xxhash64("t", "k").alias("key"))
-    return all_links(under, threshold, CROWD).distinct()
+    under = classes.select("node", F.posexplode("keys").alias("t", "k")).select("node", F.xxhash64("t", "k").alias("key"))
+    # most keys are one class's own and link nothing: signatures go to the others alone
+    common = under.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = materialize(under.join(common, "key", "left_semi"), "op2-shared")
+    return all_links(shared.join(classes.select("node", "sig", "n"), "node"), threshold, CROWD).distinct()
 
 
-def exact_links(classes: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """a, b: links between classes (node, sig, n, keys, rid) of exact similarity threshold. rows (rid, shingles) has the sets.
+def near_only(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """rows without most of those whose value of column isn't in wanted, so that a join with wanted moves few others.
 
-    Whatever connects over candidates is compared among itself, so that no link depends on the chain by which the candidates met.
+    A broadcast of bits by hash, 16 for each row of wanted, lets each of its values pass and 1 of 16 others. Beyond FILTER words of bits all rows pass.
+    """
+    size = max(1, wanted.count() // 4)
+    if size > FILTER:
+        return rows
+    place = F.pmod(F.xxhash64(column), F.lit(64 * size))
+    word, held, bit = fresh("word", rows.columns), fresh("held", rows.columns), F.pmod(place, F.lit(64)).cast("int")
+    bits = wanted.select(F.shiftright(place, 6).alias(word), bit.alias("bit")).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias(held))
+    return rows.withColumn(word, F.shiftright(place, 6)).join(F.broadcast(bits), word).where(F.getbit(F.col(held), bit) == 1).select(*rows.columns)
+
+
+def exact_links(classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links between classes (node, sig, n, keys, rid) of exact similarity threshold. texts (rid, t) has the texts.
+
+    Whatever connects over candidates is compared among itself, so that no link depends on the chain by which the candidates met. Shingle
+    sets are longer than texts, so they are made again for these rows alone.
     """
     groups = components(links(classes.select("node", "sig", "n", "keys"), threshold - SLACK))
     members = materialize(groups.join(classes.select("node", "sig", "n", "rid"), "node"), "op2-groups")
-    sets = members.join(rows.select("rid", "shingles"), "rid").select(F.xxhash64("root").alias("key"), "node", "sig", "n", "shingles")
+    found = members.join(near_only(texts, members, "rid"), "rid").select(F.xxhash64("root").alias("key"), "node", "sig", "n", "t")
+
+    def of(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sets = pa.array([shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"").tobytes() for x in b.column("t")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], sets], ["key", "node", "sig", "n", "shingles"])
+
+    sets = found.mapInArrow(of, T.StructType([*found.schema.fields[:4], T.StructField("shingles", T.BinaryType())]))
     return all_links(materialize(sets, "op2-sets"), threshold, GROUP).distinct()
 
 
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, row: Column | None = None) -> DataFrame:
-    """One row per row of docs: rid (row, by default a running number), id, component_id (the smallest id of the component)."""
+    """One row per row of docs: rid (row, by default a running number), id, component_id (the smallest id of the component).
+
+    docs are read twice, so that row has to name a row the same each time (as with_row_key does); numbered here, they are written first.
+    """
     ship(docs.sparkSession)
 
     def of(batches):
         import pyarrow as pa
 
         for b in batches:
-            found = [digest(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column("t")]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("id"), pa.array([s for s, _, _ in found], pa.binary()), pa.array([k for _, k, _ in found], pa.list_(pa.int64())), pa.array([len(h) for _, _, h in found], pa.int32()), pa.array([h.tobytes() for _, _, h in found], pa.binary())], ["rid", "id", "sig", "keys", "n", "shingles"])
+            found = [sketch(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column("t")]
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("id"), pa.array([s for s, _, _ in found], pa.binary()), pa.array([k for _, k, _ in found], pa.list_(pa.int64())), pa.array([n for _, _, n in found], pa.int32())], ["rid", "id", "sig", "keys", "n"])
 
     src = docs.select((F.monotonically_increasing_id() if row is None else row).alias("rid"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    sketched = spread(src).mapInArrow(of, T.StructType([*src.schema.fields[:2], T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType()), T.StructField("shingles", T.BinaryType())]))
+    src = materialize(src, "op2-rows") if row is None else src
+    sketched = spread(src).mapInArrow(of, T.StructType([*src.schema.fields[:2], T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType())]))
     rows = materialize(sketched.withColumns({"node": F.unhex(F.md5("sig")), "run": F.pmod(F.xxhash64("rid"), F.lit(RUNS)).cast("int")}), "op2-sketches")
     first = F.min(F.struct(F.xxhash64("rid").alias("h"), "rid", "sig", "keys", "n")).alias("first")
     runs = rows.groupBy("node", "run").agg(F.min("id").alias("least"), first)
     classes = materialize(runs.groupBy("node").agg(F.min("least").alias("least"), F.min("first").alias("first")).select("node", "least", "first.sig", "first.keys", "first.n", "first.rid"), "op2-classes")
-    roots = components(exact_links(classes, rows, threshold))
+    roots = components(exact_links(classes, src.select("rid", "t"), threshold))
     named = rows.select("node", "run").distinct().join(named_components(classes.select("node", "least"), roots), "node")
     return rows.join(named, ["node", "run"]).select("rid", "id", "component_id")
 
