@@ -93,6 +93,23 @@ def test_ranges_lose_nothing(held_to_sql, spark):
         assert got == {(i, k) for i, x in finite for k, y in finite if x // 8 == y // 8 and abs(y - x) < within * x}
 
 
+def test_near_prices_meet_across_buckets(held_to_sql, spark):
+    """Every pair of a brand within 0.2 %, whatever multiple of eight lies between; without buckets odd values meet as all pairs do."""
+    rows = held_to_sql("range_bucket_join")
+    parts = duckdb.sql(f"SELECT p_partkey, p_brand, p_retailprice FROM '{SF}/part.parquet'").fetchall()
+    price = {i: v for i, _, v in parts}
+    assert set(rows) == {(i, k) for i, b, x in parts for k, c, y in parts if b == c and i < k and abs(y - x) < 0.002 * x} and len(rows) == len(set(rows))
+    assert any(price[l] // 8 != price[r] // 8 for l, r in rows)
+    rnd = random.Random(5)
+    values = [rnd.choice([rnd.uniform(0.01, 60), rnd.uniform(7.99, 8.01), float(rnd.randint(1, 60)), 0.0, -3.0, math.inf, math.nan, 1e-300, 1e300, None]) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    left, right = df.withColumnsRenamed({"i": "l", "v": "x"}), df.withColumnsRenamed({"i": "r", "v": "y"})
+    finite = [(i, v) for i, v in enumerate(values) if v is not None and math.isfinite(v)]
+    for within in (0.002, 0.1, 0.5, 1.0, 1.5):
+        got = sorted((r.l, r.r) for r in joins.range_join(left, right, "x", "y", None, within).collect())
+        assert got == [(i, k) for i, x in finite for k, y in finite if abs(y - x) < within * x]
+
+
 def test_late_strategies_take_unmatched_rows_only(spark):
     """A strategy given as a function is asked for the candidates of those left, and not at all where none is; sets meet across the sides as all pairs do."""
     left, right = spark.createDataFrame([(i,) for i in range(9)], "l int"), spark.createDataFrame([(i,) for i in range(20, 29)], "r int")
